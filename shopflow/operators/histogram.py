@@ -70,22 +70,23 @@ def session_distributions(
     date_column: str = "session_date",
     bins: int = 10,
 ) -> DataFrame:
-    """Sessions per metric, day and bin. ``edges`` holds one row per metric."""
+    """Sessions per metric, day and bin. ``edges`` holds one row per metric.
+
+    The bin's edges are the grouping key, so the aggregation buffers stay fixed width.
+    """
+    index = edge_bin("value", "edges", bins + 1)
     binned = (
         metric_values(sessions, metrics, date_column)
         .join(F.broadcast(edges), "metric")
-        .withColumn("bin", edge_bin("value", "edges", bins + 1))
-    )
-    counts = binned.groupBy("metric", date_column, "bin").agg(
-        F.count("*").alias("count"), F.first("edges").alias("edges")
-    )
-    return conform(
-        counts.select(
+        .withColumn("bin", index)
+        .select(
             "metric",
             F.col(date_column).alias("session_date"),
             F.get("edges", F.col("bin")).alias("bin_start"),
             F.get("edges", F.col("bin") + 1).alias("bin_end"),
-            "count",
-        ),
-        "session_distributions",
+        )
+    )
+    counts = binned.groupBy("metric", "session_date", "bin_start", "bin_end").agg(
+        F.count("*").alias("count")
     )
+    return conform(counts, "session_distributions")

@@ -12,10 +12,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopflow.sources.scratch import stored
 
-def _cuts(order_by: str, buckets: int) -> Column:
+
+def default_buckets(df: DataFrame) -> int:
+    """Enough buckets to keep the cluster busy: twice its shuffle partitions."""
+    return max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _cuts(df: DataFrame, order_by: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Ascending cut points per key, and every ``_step``-th of them for a two-step lookup."""
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    return F.array_distinct(F.percentile_approx(order_by, shares, F.lit(buckets * 10)))
+    quantiles = F.percentile_approx(order_by, shares, F.lit(buckets * 10))
+    step = _step(buckets)
+    return (
+        df.groupBy(*keys)
+        .agg(F.array_distinct(quantiles).alias("fine"))
+        .withColumn("coarse", F.filter("fine", lambda c, i: i % step == step - 1))
+    )
+
+
+def _step(buckets: int) -> int:
+    return max(1, round(buckets**0.5))
+
+
+def _cuts_below(order_by: str, fine: Column, coarse: Column, buckets: int) -> Column:
+    """How many cut points lie below the value."""
+    step, value = _step(buckets), F.col(order_by)
+    passed = F.size(F.filter(coarse, lambda c: c < value)) * step
+    rest = F.slice(fine, passed + 1, F.lit(step))
+    return passed + F.size(F.filter(rest, lambda c: c < value))
 
 
 def running_totals(
@@ -23,23 +49,27 @@ def running_totals(
     order_by: str,
     measures: Sequence[str],
     key: str | None = None,
-    buckets: int = 128,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add ``<m>_before`` (sum over smaller ``order_by``) and ``<m>_total`` per measure.
 
     ``order_by`` must be unique within ``key``: aggregate first, which also removes skew
     from repeated values. ``key`` is for a few named series, such as metrics. The tables
-    broadcast here hold one row per key, or per key and bucket.
+    broadcast here hold one row per key, or per key and bucket. ``df`` is read three
+    times, so it is stored once first.
     """
+    buckets = buckets or default_buckets(df)
     keys = [key] if key else []
+    df = stored(df, "ranked")
+    cuts = _cuts(df, order_by, keys, buckets)
     if key:
-        cuts = df.groupBy(key).agg(_cuts(order_by, buckets).alias("cuts"))
         cut = df.join(F.broadcast(cuts), key)
+        fine, coarse = F.col("fine"), F.col("coarse")
     else:
-        cut = df.withColumn("cuts", df.agg(_cuts(order_by, buckets).alias("cuts")).scalar())
-    placed = cut.withColumn(
-        "bucket", F.size(F.filter("cuts", lambda c: c < F.col(order_by)))
-    ).drop("cuts")
+        cut = df.withColumn("cuts", cuts.select(F.struct("fine", "coarse").alias("row")).scalar())
+        fine, coarse = F.col("cuts.fine"), F.col("cuts.coarse")
+    bucket = _cuts_below(order_by, fine, coarse, buckets)
+    placed = cut.withColumn("bucket", bucket).drop("cuts", "fine", "coarse")
 
     sums = placed.groupBy(*keys, "bucket").agg(*[F.sum(m).alias(m) for m in measures])
     whole = Window.partitionBy(*(keys or [F.lit(0)]))
@@ -64,7 +94,7 @@ def running_totals(
 
 
 def exact_quantiles(
-    values: DataFrame, key: str, value: str, steps: int, buckets: int = 128
+    values: DataFrame, key: str, value: str, steps: int, buckets: int | None = None
 ) -> DataFrame:
     """Per key, the ``steps + 1`` sample quantiles at 0, 1/steps, ..., 1 as an array.
 

@@ -175,22 +175,47 @@ def predicted_label(threshold: float = 0.5) -> Column:
 
 def confusion_scores(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Confusion counts and the scores derived from them, as one row."""
-    hit, positive = predicted_label(threshold) == 1, F.col("label") == 1
-    missed, negative = predicted_label(threshold) == 0, F.col("label") == 0
-    counts = scored.agg(
-        F.count("*").alias("total"),
-        F.count_if(positive).alias("positives"),
-        F.count_if(positive & hit).alias("tp"),
-        F.count_if(negative & hit).alias("fp"),
-        F.count_if(positive & missed).alias("fn"),
-        F.count_if(negative & missed).alias("tn"),
+    return confusion_from_counts(score_counts(scored), threshold)
+
+
+def score_counts(scored: DataFrame) -> DataFrame:
+    """(pred_prob, pos, neg): sessions of each class per distinct score."""
+    return (
+        scored.filter(F.col("pred_prob").isNotNull())
+        .groupBy("pred_prob")
+        .agg(
+            F.count_if(F.col("label") == 1).alias("pos"),
+            F.count_if(F.col("label") == 0).alias("neg"),
+        )
+    )
+
+
+def confusion_from_counts(counts: DataFrame, threshold: float = 0.5) -> DataFrame:
+    hit = predicted_label(threshold) == 1
+
+    def total(column: Column | int) -> Column:
+        return F.coalesce(F.sum(column), F.lit(0))
+
+    cells = counts.agg(
+        total(F.when(~hit, F.col("neg"))).alias("tn"),
+        total(F.when(hit, F.col("neg"))).alias("fp"),
+        total(F.when(~hit, F.col("pos"))).alias("fn"),
+        total(F.when(hit, F.col("pos"))).alias("tp"),
+    ).withColumns(
+        {
+            "total": F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"),
+            "positives": F.col("tp") + F.col("fn"),
+        }
     )
     precision = ratio("tp", F.col("tp") + F.col("fp"))
     recall = ratio("tp", F.col("tp") + F.col("fn"))
-    return counts.select(
+    return cells.select(
         "total",
         "positives",
-        *[c for c in ("tn", "fp", "fn", "tp")],
+        "tn",
+        "fp",
+        "fn",
+        "tp",
         F.round(ratio(F.col("tp") + F.col("tn"), "total"), 6).alias("accuracy"),
         F.round(precision, 6).alias("precision"),
         F.round(recall, 6).alias("recall"),
@@ -214,23 +239,16 @@ def date_bounds(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def _counts_by_score(scored: DataFrame) -> DataFrame:
-    return (
-        scored.filter(F.col("pred_prob").isNotNull())
-        .groupBy("pred_prob")
-        .agg(
-            F.count_if(F.col("label") == 1).alias("pos"),
-            F.count_if(F.col("label") == 0).alias("neg"),
-        )
-    )
-
-
 def auc_exact(scored: DataFrame) -> DataFrame:
     """Area under the ROC curve by rank sums, ties counted half; one row.
 
     The perfect flag marks a value of 1.0 after rounding. A single class gives NULL.
     """
-    ranked = running_totals(_counts_by_score(scored), "pred_prob", ["pos", "neg"])
+    return auc_from_counts(score_counts(scored))
+
+
+def auc_from_counts(counts: DataFrame) -> DataFrame:
+    ranked = running_totals(counts, "pred_prob", ["pos", "neg"])
     big = "decimal(20,0)"
     twice_won = F.col("pos").cast(big) * (2 * F.col("neg_before") + F.col("neg")).cast(big)
     sums = ranked.agg(
@@ -250,7 +268,7 @@ def auc_exact(scored: DataFrame) -> DataFrame:
 
 def roc_curve(scored: DataFrame) -> DataFrame:
     """One (threshold, fpr, tpr) point per distinct score, at or above which all is flagged."""
-    ranked = running_totals(_counts_by_score(scored), "pred_prob", ["pos", "neg"])
+    ranked = running_totals(score_counts(scored), "pred_prob", ["pos", "neg"])
     return ranked.select(
         F.col("pred_prob").alias("threshold"),
         ratio(F.col("neg_total") - F.col("neg_before"), "neg_total").alias("fpr"),

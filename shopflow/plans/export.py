@@ -30,7 +30,7 @@ from shopflow.operators.sessions import (
 )
 from shopflow.schema import SHOP_EVENT_TYPES, empty_table
 from shopflow.sources.readers import read_record, require_rows
-from shopflow.sources.scratch import scratch_path
+from shopflow.sources.scratch import stored
 from shopflow.sources.writers import save_mode, write_record, write_table
 
 
@@ -39,12 +39,6 @@ class Report(NamedTuple):
     records: dict[str, DataFrame]
 
 
-def _stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def propensity_tables(
     spark: SparkSession, sessions: DataFrame, model: PipelineModel | None, threshold: float
 ) -> Report:
@@ -67,7 +61,7 @@ def propensity_tables(
             F.lit(float(threshold)).alias("threshold"),
         )
         return Report({n: empty_table(spark, n) for n in names}, {"propensity_kpis": kpis})
-    cube = _stored(spark, scores.score_cube(score(model, sessions), threshold), "score_cube")
+    cube = stored(scores.score_cube(score(model, sessions), threshold), "score_cube")
     tables = {
         "propensity_daily": scores.propensity_daily(cube),
         "propensity_hist": scores.score_histogram(cube),
@@ -91,10 +85,10 @@ def build_report(
     currency: str = "USD",
 ) -> Report:
     in_range = reportable_events(events, start, end, event_types)
-    days = _stored(spark, session_days(in_range), "session_days")
-    cube = _stored(spark, rollups.commerce_cube(purchases(in_range)), "commerce_cube")
+    days = stored(session_days(in_range), "session_days")
+    cube = stored(rollups.commerce_cube(purchases(in_range)), "commerce_cube")
     joined = sessions_in_range(features, starts_from_session_days(days), start, end)
-    sessions = _stored(spark, joined, "sessions")
+    sessions = stored(joined, "sessions")
 
     tables = {
         "funnel_daily": rollups.funnel_from_session_days(days),

@@ -19,8 +19,15 @@ from shopflow.operators.model import (
     time_split,
 )
 from shopflow.operators.rollups import one_row
-from shopflow.operators.scores import auc_exact, class_balance, confusion_scores, split_provenance
+from shopflow.operators.scores import (
+    auc_from_counts,
+    class_balance,
+    confusion_from_counts,
+    score_counts,
+    split_provenance,
+)
 from shopflow.sources.readers import require_rows
+from shopflow.sources.scratch import stored
 from shopflow.sources.writers import write_split
 
 
@@ -63,12 +70,16 @@ def evaluation_record(
     method: str = "time",
     date_column: str = "session_date",
 ) -> DataFrame:
-    """All facts about a fitted model on its test set as one row."""
+    """All facts about a fitted model on its test set as one row.
+
+    The test set is scored once, into counts per distinct score.
+    """
+    counts = stored(score_counts(scored), "score_counts")
     base = split_provenance(train, test, date_column, method).withColumns(
         {
             "train_balance": one_row(class_balance(train, label)),
-            "m": one_row(confusion_scores(scored, threshold)),
-            "a": one_row(auc_exact(scored)),
+            "m": one_row(confusion_from_counts(counts, threshold)),
+            "a": one_row(auc_from_counts(counts)),
         }
     )
     return base.select(

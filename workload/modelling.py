@@ -14,6 +14,7 @@ from shopflow.functions.selection import (
 from shopflow.operators import model, scores
 from shopflow.plans.export import propensity_tables
 from shopflow.plans.propensity import evaluation_record
+from shopflow.sources.scratch import stored
 from workload import views as v
 from workload.registry import query
 
@@ -150,7 +151,7 @@ def coefficient_drivers(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir):
-    sessions = v.behaviour_sessions(spark, sf_dir)
+    sessions = stored(v.behaviour_sessions(spark, sf_dir), "sessions")
     kept = select_features(sessions).kept
     marked = model.time_split(
         sessions.select("user_session", "session_date", LABEL, *kept), "session_date", ["user_session"]

@@ -8,6 +8,7 @@ from shopflow.operators import report, rollups, scores
 from shopflow.operators.events import purchases
 from shopflow.operators.histogram import exact_edges, session_distributions
 from shopflow.operators.sessions import conversion_by_weekday
+from shopflow.sources.scratch import stored
 from workload import views as v
 from workload.registry import query
 
@@ -229,7 +230,7 @@ def weekday_totals(spark, sf_dir):
 
 
 def _distributions(spark, sf_dir):
-    sessions = v.behaviour_sessions(spark, sf_dir)
+    sessions = stored(v.behaviour_sessions(spark, sf_dir), "sessions")
     return session_distributions(sessions, exact_edges(sessions))
 
 

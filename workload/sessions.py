@@ -14,6 +14,7 @@ from shopflow.operators.sessions import (
     starts_from_session_days,
     sessions_in_range,
 )
+from shopflow.sources.scratch import stored
 from workload import views as v
 from workload.registry import query
 
@@ -97,19 +98,19 @@ def weekday_conversion(spark, sf_dir):
 
 @query("session_histogram", "SELECT * FROM ed_dist", "ed_dist")
 def histogram(spark, sf_dir):
-    sessions = v.behaviour_sessions(spark, sf_dir)
+    sessions = stored(v.behaviour_sessions(spark, sf_dir), "sessions")
     return session_distributions(sessions, exact_edges(sessions))
 
 
 @query("session_histogram_commerce", "SELECT * FROM ld_dist", "ld_dist")
 def histogram_commerce(spark, sf_dir):
-    sessions = v.commerce_sessions(spark, sf_dir)
+    sessions = stored(v.commerce_sessions(spark, sf_dir), "sessions")
     return session_distributions(sessions, exact_edges(sessions))
 
 
 @query("approx_histogram")
 def approx_histogram(spark, sf_dir):
-    sessions = v.behaviour_sessions(spark, sf_dir)
+    sessions = stored(v.behaviour_sessions(spark, sf_dir), "sessions")
     return session_distributions(sessions, approx_edges(sessions))
 
 
@@ -122,6 +123,6 @@ def approx_histogram(spark, sf_dir):
 )
 def approx_histogram_totals(spark, sf_dir):
     """Whatever the edges, a day's bins add up to its sessions with a value."""
-    sessions = v.behaviour_sessions(spark, sf_dir)
+    sessions = stored(v.behaviour_sessions(spark, sf_dir), "sessions")
     bins = session_distributions(sessions, approx_edges(sessions))
     return bins.groupBy("metric", "session_date").agg(F.sum("count").alias("count"))
