@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopflow.functions.expressions import key_share
+from shopflow.functions.expressions import key_share, ratio
 from shopflow.functions.selection import DEFAULT_FEATURES, LABEL, fill_missing
 
 # Features listed first among the drivers, and their descriptions.
@@ -38,21 +38,21 @@ OTHER_DESCRIPTION = "Derived session feature."
 FIT_DEFAULTS = {"maxIter": 50, "regParam": 0.01, "elasticNetParam": 0.0}
 
 
-def hash_split(df: DataFrame, keys: Sequence[str], ratio: float = 0.8, seed: int = 42) -> DataFrame:
+def hash_split(df: DataFrame, keys: Sequence[str], share: float = 0.8, seed: int = 42) -> DataFrame:
     """Add in_train by a hash of the keys: the same rows whatever the partitioning."""
-    return df.withColumn("in_train", key_share(keys, seed) < F.lit(ratio))
+    return df.withColumn("in_train", key_share(keys, seed) < F.lit(share))
 
 
-def random_split(df: DataFrame, ratio: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def random_split(df: DataFrame, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Spark's own seeded split; which rows go where depends on the partitioning."""
-    train, test = df.randomSplit([ratio, 1.0 - ratio], seed)
+    train, test = df.randomSplit([share, 1.0 - share], seed)
     return train, test
 
 
-def split_cutoff(df: DataFrame, date_column: str, ratio: float = 0.8) -> DataFrame:
+def split_cutoff(df: DataFrame, date_column: str, share: float = 0.8) -> DataFrame:
     """The first test date as one row; NULL with fewer than two distinct dates.
 
-    Of n dates the first max(1, min(n - 1, floor(n * ratio))) train. The window runs over
+    Of n dates the first max(1, min(n - 1, floor(n * share))) train. The window runs over
     distinct calendar days only, never over sessions.
     """
     dates = df.select(F.col(date_column).alias("d")).dropna().distinct()
@@ -63,25 +63,25 @@ def split_cutoff(df: DataFrame, date_column: str, ratio: float = 0.8) -> DataFra
         F.count("*").over(everything).alias("n"),
     )
     first = F.greatest(
-        F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(float(ratio))))
+        F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(float(share))))
     )
     chosen = (F.col("n") >= 2) & (F.col("position") == first + 1)
     return ranked.agg(F.min(F.when(chosen, F.col("d"))).alias("cutoff"))
 
 
 def time_split(
-    df: DataFrame, date_column: str, keys: Sequence[str], ratio: float = 0.8, seed: int = 42
+    df: DataFrame, date_column: str, keys: Sequence[str], share: float = 0.8, seed: int = 42
 ) -> DataFrame:
     """Add in_train: earlier dates train, later dates test, rows without a date neither.
 
     With fewer than two dates the rows are split by a hash of ``keys`` instead.
     """
-    cutoff = split_cutoff(df, date_column, ratio).select("cutoff").scalar()
+    cutoff = split_cutoff(df, date_column, share).select("cutoff").scalar()
     with_cutoff = df.withColumn("cutoff", cutoff)
     return with_cutoff.withColumn(
         "in_train",
         F.when(F.col("cutoff").isNotNull(), F.col(date_column) < F.col("cutoff")).otherwise(
-            key_share(keys, seed) < F.lit(ratio)
+            key_share(keys, seed) < F.lit(share)
         ),
     ).drop("cutoff")
 
@@ -151,15 +151,16 @@ def coefficient_rows(model: PipelineModel, like: DataFrame) -> DataFrame:
     return like.sparkSession.createDataFrame(list(weights.items()), "feature STRING, weight DOUBLE")
 
 
-def correlation_rows(features_table: DataFrame, features: Sequence[str], label: str = LABEL) -> DataFrame:
-    """(feature, weight) rows of Pearson correlations with the label, undefined ones as 0.
+def _correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation, 0 where it is undefined; corr() itself raises there under ANSI."""
+    return ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
-    All correlations come from one aggregation.
-    """
+
+def correlation_rows(features_table: DataFrame, features: Sequence[str], label: str = LABEL) -> DataFrame:
+    """(feature, weight) rows of correlations with the label, all from one aggregation."""
     filled = fill_missing(features_table, features, label)
-    wide = filled.agg(
-        *[F.corr(F.col(f).cast("double"), F.col(label).cast("double")).alias(f) for f in features]
-    )
+    target = F.col(label).cast("double")
+    wide = filled.agg(*[_correlation(F.col(f).cast("double"), target).alias(f) for f in features])
     return wide.unpivot([], list(features), "feature", "weight").withColumn(
         "weight", F.coalesce(F.nanvl("weight", F.lit(0.0)), F.lit(0.0))
     )

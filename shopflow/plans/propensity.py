@@ -38,7 +38,7 @@ def train(
     test_path: str,
     model_path: str,
     method: str = "time",
-    ratio: float = 0.8,
+    share: float = 0.8,
     seed: int = 42,
     wanted: Sequence[str] = DEFAULT_FEATURES,
     label: str = LABEL,
@@ -51,9 +51,9 @@ def train(
     columns = ["user_session", label, *kept, *([date_column] if has_date else [])]
     sessions = fill_missing(features.select(*columns), kept, label)
     if method in ("time", "time-based") and has_date:
-        marked = time_split(sessions, date_column, ["user_session"], ratio, seed)
+        marked = time_split(sessions, date_column, ["user_session"], share, seed)
     else:
-        marked = hash_split(sessions, ["user_session"], ratio, seed)
+        marked = hash_split(sessions, ["user_session"], share, seed)
     write_split(marked, train_path, test_path)
     model = fit(spark.read.parquet(train_path), kept, label)
     save_model(model, model_path)
