@@ -55,9 +55,7 @@ def test_rollup_without_any_price_keeps_nulls(spark, log):
 
 
 def test_kpi_record(spark, log):
-    record = ro.kpi_record(
-        ro.event_kpis(log), ro.purchase_kpis(purchases(log)), session_kpis(session_features(log)), "EUR"
-    )
+    record = ro.kpi_record(ro.activity_kpis(log), session_kpis(session_features(log)), currency="EUR")
     row = record.first().asDict()
     assert row == {
         "total_events": 4,
@@ -77,8 +75,8 @@ def test_kpi_record(spark, log):
     }
     shared = ro.kpi_record(
         ro.event_kpis_from_session_days(session_days(log)),
-        ro.purchase_kpis_from_cube(ro.commerce_cube(purchases(log))),
         session_kpis(session_features(log)),
+        ro.purchase_kpis_from_cube(ro.commerce_cube(purchases(log))),
         "EUR",
     )
     assert shared.first().asDict() == row
@@ -89,7 +87,7 @@ def test_everything_on_no_rows(spark, log):
     none = log.filter("false")
     for table in (ro.funnel_daily(none), ro.category_daily(none), ro.brand_daily(none), ro.purchases_by_hour(none)):
         assert table.isEmpty()
-    record = ro.kpi_record(ro.event_kpis(none), ro.purchase_kpis(none), session_kpis(session_features(none))).first()
+    record = ro.kpi_record(ro.event_kpis(none), session_kpis(session_features(none)), ro.purchase_kpis(none)).first()
     assert (record.total_events, record.total_revenue, record.avg_order_value, record.min_event_date) == (0, 0.0, 0.0, None)
 
 

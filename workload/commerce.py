@@ -61,9 +61,7 @@ def purchase_kpis(spark, sf_dir):
 def kpi_record(spark, sf_dir):
     events = v.commerce_events(spark, sf_dir, part=False)
     return rollups.kpi_record(
-        rollups.event_kpis(events),
-        rollups.purchase_kpis(purchases(events)),
-        session_kpis(v.commerce_sessions(spark, sf_dir)),
+        rollups.activity_kpis(events), session_kpis(v.commerce_sessions(spark, sf_dir))
     )
 
 
@@ -72,8 +70,8 @@ def kpi_record_shared(spark, sf_dir):
     """The same record from the shared session-day table and sales cube."""
     return rollups.kpi_record(
         rollups.event_kpis_from_session_days(session_days(v.shop_events(spark, sf_dir))),
-        rollups.purchase_kpis_from_cube(rollups.commerce_cube(v.shop_purchases(spark, sf_dir))),
         session_kpis(v.behaviour_sessions(spark, sf_dir)),
+        rollups.purchase_kpis_from_cube(rollups.commerce_cube(v.shop_purchases(spark, sf_dir))),
     )
 
 

@@ -10,7 +10,7 @@ from shopflow.operators.events import clean_events, purchases, reportable_events
 from shopflow.operators.sessions import session_features, session_kpis
 from shopflow.plans.export import build_report
 from shopflow.sources import readers, writers
-from shopflow.sources.scratch import scratch_path
+from shopflow.sources.scratch import scratch_path, stored
 from workload import views as v
 from workload.registry import query
 
@@ -145,9 +145,7 @@ _KPI_NAMES = ("total_events", "total_users", "total_purchases", "total_revenue",
 def _kpis(spark, sf_dir):
     events = v.commerce_events(spark, sf_dir, part=False)
     return rollups.kpi_record(
-        rollups.event_kpis(events),
-        rollups.purchase_kpis(purchases(events)),
-        session_kpis(v.commerce_sessions(spark, sf_dir)),
+        rollups.activity_kpis(events), session_kpis(v.commerce_sessions(spark, sf_dir))
     )
 
 
@@ -180,7 +178,8 @@ def metric_csv_roundtrip(spark, sf_dir):
     "lf",
 )
 def split_roundtrip(spark, sf_dir):
-    marked = model.time_split(session_features(v.commerce(spark, sf_dir)), "session_date", ["user_session"])
+    features = stored(session_features(v.commerce(spark, sf_dir)), "features")
+    marked = model.time_split(features, "session_date", ["user_session"])
     train, test = scratch_path(spark, "train"), scratch_path(spark, "test")
     writers.write_split(marked, train, test)
     sides = [

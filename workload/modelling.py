@@ -36,7 +36,8 @@ _KEPT = [c for c in DEFAULT_FEATURES if c != "num_purchases"]
     "ls",
 )
 def time_split(spark, sf_dir):
-    marked = model.time_split(v.commerce_sessions(spark, sf_dir), "session_date", ["user_session"])
+    sessions = stored(v.commerce_sessions(spark, sf_dir), "sessions")
+    marked = model.time_split(sessions, "session_date", ["user_session"])
     return marked.groupBy("in_train").agg(
         F.count("*").alias("sessions"),
         F.sum(LABEL).alias("positives"),
