@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the folder in spark.checkpoint.dir.
+    """A fresh path under the folder in spark.checkpoint.dir, grouped by application.
 
     Without that setting a local session uses a temporary folder; a cluster session has
     no folder all executors share, so that is an error.
@@ -19,7 +19,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="shopflow-")
-    return f"{root.rstrip('/')}/shopflow-{uuid.uuid4().hex}/{name}"
+    application = spark.sparkContext.applicationId
+    return f"{root.rstrip('/')}/shopflow-{application}/{uuid.uuid4().hex}/{name}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
