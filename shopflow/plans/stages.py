@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopflow.operators.events import clean_events, clean_summary
@@ -23,15 +23,15 @@ def ingest(
 ) -> DataFrame:
     """Clean raw files into day-partitioned events and return the one-row summary.
 
-    Input rows are counted while the files are read for writing; the rest of the summary
-    comes from the columns of the written table.
+    The files are read twice: to write, and to count input rows. A counter updated while
+    writing would be cheaper but counts rows again whenever a lost executor's tasks are
+    rerun. The rest of the summary comes from the columns of the written table.
     """
-    seen = Observation("raw")
     raw = smoke_rows(read_raw_events(spark, csv_paths), limit)
-    observed = raw.observe(seen, F.count(F.lit(1)).alias("input_rows"))
-    write_events(clean_events(observed), events_path, overwrite)
+    write_events(clean_events(raw), events_path, overwrite)
     events = require_rows(spark, events_path, "no valid rows after cleaning")
-    return clean_summary(events).select(F.lit(seen.get["input_rows"]).alias("input_rows"), "*")
+    seen = raw.agg(F.count("*").alias("input_rows"))
+    return clean_summary(events).select(seen.scalar().alias("input_rows"), "*")
 
 
 def build_features(
