@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from datetime import date
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,21 +69,45 @@ def as_date(value: str | date | None) -> date | None:
     return value if isinstance(value, date) else date.fromisoformat(value)
 
 
+def within_dates(
+    column: str, start: str | date | None = None, end: str | date | None = None
+) -> Column | None:
+    """start <= column <= end as a condition; an absent bound does not restrict."""
+    start, end = as_date(start), as_date(end)
+    if start and end and start > end:
+        raise ValueError(f"start {start} is after end {end}")
+    bounds = []
+    if start:
+        bounds.append(F.col(column) >= F.lit(start))
+    if end:
+        bounds.append(F.col(column) <= F.lit(end))
+    return reduce(and_, bounds) if bounds else None
+
+
 def in_date_range(
     df: DataFrame,
     column: str,
     start: str | date | None = None,
     end: str | date | None = None,
 ) -> DataFrame:
-    """Rows with start <= column <= end; an absent bound does not filter."""
-    start, end = as_date(start), as_date(end)
-    if start and end and start > end:
-        raise ValueError(f"start {start} is after end {end}")
-    if start:
-        df = df.filter(F.col(column) >= F.lit(start))
-    if end:
-        df = df.filter(F.col(column) <= F.lit(end))
-    return df
+    condition = within_dates(column, start, end)
+    return df if condition is None else df.filter(condition)
+
+
+def is_reportable(
+    start: str | date | None = None,
+    end: str | date | None = None,
+    event_types: Iterable[str] | None = SHOP_EVENT_TYPES,
+) -> Column:
+    """An event with a time and a session, in the date range, of an allowed type."""
+    conditions = [F.col("event_time").isNotNull(), F.col("user_session").isNotNull()]
+    dates = within_dates("event_date", start, end)
+    if dates is not None:
+        conditions.append(dates)
+    allowed = list(event_types or ())
+    if allowed:
+        conditions.append(F.col("event_type").isin(allowed))
+    return reduce(and_, conditions)
 
 
 def reportable_events(
@@ -90,13 +116,7 @@ def reportable_events(
     end: str | date | None = None,
     event_types: Iterable[str] | None = SHOP_EVENT_TYPES,
 ) -> DataFrame:
-    """Events with a time and a session, in the date range, of an allowed type."""
-    kept = with_event_date(events).filter(
-        F.col("event_time").isNotNull() & F.col("user_session").isNotNull()
-    )
-    kept = in_date_range(kept, "event_date", start, end)
-    allowed = list(event_types or ())
-    return kept.filter(F.col("event_type").isin(allowed)) if allowed else kept
+    return with_event_date(events).filter(is_reportable(start, end, event_types))
 
 
 def purchases(events: DataFrame) -> DataFrame:

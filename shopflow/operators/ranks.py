@@ -16,8 +16,8 @@ from shopflow.sources.scratch import stored
 
 
 def default_buckets(df: DataFrame) -> int:
-    """Enough buckets to keep the cluster busy: twice its shuffle partitions."""
-    return max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Twice the shuffle partitions, between 64 and 1024: enough tasks, a small plan."""
+    return min(1024, max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _cuts(df: DataFrame, order_by: str, keys: Sequence[str], buckets: int) -> DataFrame:

@@ -69,6 +69,17 @@ def test_join_dates_sessions_by_first_event_in_range(spark, log):
     assert got == {"night": (dt.date(2024, 3, 4), 3), "views": (dt.date(2024, 3, 4), 3)}
 
 
+def test_one_scan_gives_the_joined_rows(spark, log):
+    from shopflow.operators.events import reportable_events
+    from shopflow.schema import TABLES
+
+    names = [c.split(" ")[0] for c in TABLES["session_features"].split(", ")]
+    for bounds in ((None, None), ("2024-03-04", None), ("2024-03-02", "2024-03-03"), (None, "2024-01-01")):
+        starts = se.session_starts(reportable_events(log, *bounds))
+        joined = se.sessions_in_range(se.session_features(log), starts, *bounds).select(*names)
+        assert rows(se.session_features_in_range(log, *bounds)) == rows(joined)
+
+
 def test_day_of_week_is_derived_when_absent(spark, log):
     features = se.session_features(log).drop("day_of_week")
     joined = se.sessions_in_range(features, se.session_starts(log.dropna(subset=["user_session"])))

@@ -10,6 +10,7 @@ from shopflow.operators.sessions import (
     feature_summary,
     session_days,
     session_features,
+    session_features_in_range,
     session_kpis,
     starts_from_session_days,
     sessions_in_range,
@@ -59,6 +60,11 @@ def dates_join(spark, sf_dir):
     return v.commerce_sessions(spark, sf_dir, v.L_START, v.L_END).drop("session_start")
 
 
+@query("sessions_in_range_one_scan", "SELECT * FROM lsr", "lsr")
+def in_range_one_scan(spark, sf_dir):
+    return session_features_in_range(v.commerce(spark, sf_dir), v.L_START, v.L_END)
+
+
 @query(
     "session_day_starts",
     """

@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 
 from shopflow.operators.events import purchases, reportable_events
 from shopflow.operators.model import logistic_score
-from shopflow.operators.sessions import session_features, session_starts, sessions_in_range
+from shopflow.operators.sessions import (
+    session_features,
+    session_features_in_range,
+    session_starts,
+    sessions_in_range,
+)
 
 # Report range used by the queries that filter days.
 START, END = "2024-01-05", "2024-01-24"
@@ -140,8 +145,7 @@ def commerce_events(spark: SparkSession, sf_dir: str, start=None, end=None, **pa
 
 def behaviour_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of the behaviour sessions that hold an allowed event."""
-    features = session_features(behaviour(spark, sf_dir))
-    return sessions_in_range(features, session_starts(shop_events(spark, sf_dir)))
+    return session_features_in_range(behaviour(spark, sf_dir))
 
 
 def commerce_sessions(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
