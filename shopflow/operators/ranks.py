@@ -20,28 +20,25 @@ def default_buckets(df: DataFrame) -> int:
     return min(1024, max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def _cuts(df: DataFrame, order_by: str, keys: Sequence[str], buckets: int) -> DataFrame:
-    """Ascending cut points per key, and every ``_step``-th of them for a two-step lookup."""
+def _cuts(order_by: str, buckets: int) -> Column:
+    """Ascending cut points, at most ``buckets - 1``, between parts of similar size."""
     shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    quantiles = F.percentile_approx(order_by, shares, F.lit(buckets * 10))
-    step = _step(buckets)
-    return (
-        df.groupBy(*keys)
-        .agg(F.array_distinct(quantiles).alias("fine"))
-        .withColumn("coarse", F.filter("fine", lambda c, i: i % step == step - 1))
-    )
-
+    return F.array_distinct(F.percentile_approx(order_by, shares, F.lit(buckets * 10)))
 
-def _step(buckets: int) -> int:
-    return max(1, round(buckets**0.5))
 
+def _placed(df: DataFrame, order_by: str, buckets: int) -> DataFrame:
+    """Add ``bucket``, the number of ``cuts`` below the value, by halving steps.
 
-def _cuts_below(order_by: str, fine: Column, coarse: Column, buckets: int) -> Column:
-    """How many cut points lie below the value."""
-    step, value = _step(buckets), F.col(order_by)
-    passed = F.size(F.filter(coarse, lambda c: c < value)) * step
-    rest = F.slice(fine, passed + 1, F.lit(step))
-    return passed + F.size(F.filter(rest, lambda c: c < value))
+    One projection a step keeps the search in compiled code; a lambda over the array
+    would be interpreted, and nested into one expression it would double with each step.
+    """
+    df = df.withColumn("bucket", F.lit(0))
+    step = 1 << (buckets.bit_length() - 1)
+    while step:
+        ahead = F.get("cuts", F.col("bucket") + F.lit(step - 1)) < F.col(order_by)
+        df = df.withColumn("bucket", F.col("bucket") + F.when(ahead, step).otherwise(0))
+        step //= 2
+    return df.drop("cuts")
 
 
 def running_totals(
@@ -61,15 +58,12 @@ def running_totals(
     buckets = buckets or default_buckets(df)
     keys = [key] if key else []
     df = stored(df, "ranked")
-    cuts = _cuts(df, order_by, keys, buckets)
     if key:
+        cuts = df.groupBy(key).agg(_cuts(order_by, buckets).alias("cuts"))
         cut = df.join(F.broadcast(cuts), key)
-        fine, coarse = F.col("fine"), F.col("coarse")
     else:
-        cut = df.withColumn("cuts", cuts.select(F.struct("fine", "coarse").alias("row")).scalar())
-        fine, coarse = F.col("cuts.fine"), F.col("cuts.coarse")
-    bucket = _cuts_below(order_by, fine, coarse, buckets)
-    placed = cut.withColumn("bucket", bucket).drop("cuts", "fine", "coarse")
+        cut = df.withColumn("cuts", df.agg(_cuts(order_by, buckets).alias("cuts")).scalar())
+    placed = _placed(cut, order_by, buckets)
 
     sums = placed.groupBy(*keys, "bucket").agg(*[F.sum(m).alias(m) for m in measures])
     whole = Window.partitionBy(*(keys or [F.lit(0)]))
