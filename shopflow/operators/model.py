@@ -17,22 +17,23 @@ from pyspark.sql import functions as F
 from shopflow.functions.expressions import key_share, ratio
 from shopflow.functions.selection import DEFAULT_FEATURES, LABEL, fill_missing
 
-# Features listed first among the drivers, and their descriptions.
+# The features listed first among the drivers.
 PREFERRED_DRIVERS = tuple(c for c in DEFAULT_FEATURES if c != "num_purchases")
+
 FEATURE_DESCRIPTIONS = {
-    "total_events": "Total clickstream events in the session.",
-    "num_views": "Number of product views in the session.",
-    "num_carts": "Number of add-to-cart actions in the session.",
-    "unique_products": "Distinct products interacted with in the session.",
-    "unique_categories": "Distinct product categories interacted with.",
-    "session_duration_seconds": "Session duration in seconds.",
-    "avg_price_viewed": "Average price of viewed products in the session.",
-    "max_price_viewed": "Maximum price of viewed products in the session.",
-    "hour_of_day": "Session start hour (0-23).",
-    "day_of_week": "Session start day of week (1=Sun).",
-    "is_weekend": "Indicator that the session started on a weekend.",
+    "total_events": "events of any kind",
+    "num_views": "product views",
+    "num_carts": "times a product was put into the cart",
+    "unique_products": "different products touched",
+    "unique_categories": "different categories touched",
+    "session_duration_seconds": "seconds from first to last event",
+    "avg_price_viewed": "mean price of the views",
+    "max_price_viewed": "highest price viewed",
+    "hour_of_day": "hour of the first event, 0 to 23",
+    "day_of_week": "weekday of the first event, Sunday = 1",
+    "is_weekend": "1 if the first event fell on a Saturday or Sunday",
 }
-OTHER_DESCRIPTION = "Derived session feature."
+OTHER_DESCRIPTION = "another session feature"
 
 # Default fit settings.
 FIT_DEFAULTS = {"maxIter": 50, "regParam": 0.01, "elasticNetParam": 0.0}

@@ -20,6 +20,7 @@ def ingest(
     events_path: str,
     overwrite: bool = False,
     limit: int | None = None,
+    cluster: bool = True,
 ) -> DataFrame:
     """Clean raw files into day-partitioned events and return the one-row summary.
 
@@ -28,7 +29,7 @@ def ingest(
     rerun. The rest of the summary comes from the columns of the written table.
     """
     raw = smoke_rows(read_raw_events(spark, csv_paths), limit)
-    write_events(clean_events(raw), events_path, overwrite)
+    write_events(clean_events(raw), events_path, overwrite, cluster=cluster)
     events = require_rows(spark, events_path, "no valid rows after cleaning")
     seen = raw.agg(F.count("*").alias("input_rows"))
     return clean_summary(events).select(seen.scalar().alias("input_rows"), "*")

@@ -21,11 +21,21 @@ def save_mode(overwrite: bool) -> str:
     return "overwrite" if overwrite else "errorifexists"
 
 
-def write_events(events: DataFrame, path: str, overwrite: bool = False, mode: str | None = None) -> None:
-    """Clean events as Parquet partitioned by event_date."""
+def write_events(
+    events: DataFrame,
+    path: str,
+    overwrite: bool = False,
+    mode: str | None = None,
+    cluster: bool = True,
+) -> None:
+    """Clean events as Parquet partitioned by event_date.
+
+    ``cluster=False`` skips the shuffle by day. That suits input already ordered by time,
+    where a task meets few days; otherwise every task would write a file for each day.
+    """
+    laid_out = events.hint("rebalance", "event_date") if cluster else events
     (
-        events.hint("rebalance", "event_date")
-        .write.mode(mode or save_mode(overwrite))
+        laid_out.write.mode(mode or save_mode(overwrite))
         .option("compression", "snappy")
         .partitionBy("event_date")
         .parquet(path)

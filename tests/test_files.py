@@ -102,6 +102,14 @@ def test_hot_day_is_written_by_several_tasks(spark, tmp_path):
     assert spark.read.parquet(out).count() == 200_000
 
 
+def test_ordered_input_needs_no_shuffle(spark, tmp_path):
+    log = spark.range(400, numPartitions=4).selectExpr("date_add(date'2024-01-01', cast(id div 100 as int)) AS event_date", "id")
+    out = str(tmp_path / "ordered")
+    wr.write_events(log, out, cluster=False)
+    assert all(len(list(d.glob("*.parquet"))) == 1 for d in Path(out).glob("event_date=*"))
+    assert spark.read.parquet(out).count() == 400
+
+
 def test_guards_and_optional_tables(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="run it"):
         rd.require_rows(spark, str(tmp_path / "none"), "run it")
