@@ -61,10 +61,8 @@ def last_days(bounds: DataFrame, days: int | None) -> DataFrame:
 
 def filter_to(df: DataFrame, column: str, window: DataFrame) -> DataFrame:
     """Rows within the one-row (start_date, end_date) table, which stays inside Spark."""
-    return df.filter(
-        (F.col(column) >= window.select("start_date").scalar())
-        & (F.col(column) <= window.select("end_date").scalar())
-    )
+    days = one_row(window)
+    return df.filter(F.col(column).between(days["start_date"], days["end_date"]))
 
 
 def category_options(categories: DataFrame) -> DataFrame:

@@ -157,6 +157,7 @@ def _fitted(spark, sf_dir):
     marked = model.time_split(
         sessions.select("user_session", "session_date", LABEL, *kept), "session_date", ["user_session"]
     )
+    marked = stored(marked, "split")
     train, test = marked.filter("in_train"), marked.filter("NOT in_train")
     return model.fit(train, kept), kept, train, test
 

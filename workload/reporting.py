@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from shopflow.operators import report, rollups, scores
@@ -20,24 +22,67 @@ PRICES = (3000.0, 9000.0)
 _PRICED = f"avg_price BETWEEN {PRICES[0]} AND {PRICES[1]}"
 
 
+class Tables:
+    """The report tables from shared, stored bases: for queries that need several."""
+
+    def __init__(self, spark, sf_dir):
+        self.at = (spark, sf_dir)
+
+    @cached_property
+    def cube(self):
+        return stored(rollups.commerce_cube(v.shop_purchases(*self.at)), "commerce_cube")
+
+    @cached_property
+    def sessions(self):
+        return stored(v.behaviour_sessions(*self.at), "sessions")
+
+    @cached_property
+    def funnel(self):
+        return stored(rollups.funnel_daily(v.shop_events(*self.at)), "funnel")
+
+    @property
+    def hourly(self):
+        return rollups.rollup_from_cube(self.cube, ["event_date", "hour"], "purchases_by_hour")
+
+    @property
+    def categories(self):
+        return rollups.rollup_from_cube(self.cube, ["event_date", "category"], "top_categories")
+
+    @property
+    def brands(self):
+        return rollups.rollup_from_cube(self.cube, ["event_date", "brand"], "top_brands")
+
+    @property
+    def weekdays(self):
+        return conversion_by_weekday(self.sessions)
+
+
+def _event_days(df, start=v.START, end=v.END):
+    return report.filter_dates(df, "event_date", start, end)
+
+
+def _session_days(df, start=v.START, end=v.END):
+    return report.filter_dates(df, "session_date", start, end)
+
+
 def _funnel(spark, sf_dir):
-    return report.filter_dates(rollups.funnel_daily(v.shop_events(spark, sf_dir)), "event_date", v.START, v.END)
+    return _event_days(rollups.funnel_daily(v.shop_events(spark, sf_dir)))
 
 
 def _hourly(spark, sf_dir):
-    return report.filter_dates(rollups.purchases_by_hour(v.shop_purchases(spark, sf_dir)), "event_date", v.START, v.END)
+    return _event_days(rollups.purchases_by_hour(v.shop_purchases(spark, sf_dir)))
 
 
 def _categories(spark, sf_dir):
-    return report.filter_dates(rollups.category_daily(v.shop_purchases(spark, sf_dir)), "event_date", v.START, v.END)
+    return _event_days(rollups.category_daily(v.shop_purchases(spark, sf_dir)))
 
 
 def _brands(spark, sf_dir):
-    return report.filter_dates(rollups.brand_daily(v.shop_purchases(spark, sf_dir)), "event_date", v.START, v.END)
+    return _event_days(rollups.brand_daily(v.shop_purchases(spark, sf_dir)))
 
 
 def _weekdays(spark, sf_dir):
-    return report.filter_dates(conversion_by_weekday(v.behaviour_sessions(spark, sf_dir)), "session_date", v.START, v.END)
+    return _session_days(conversion_by_weekday(v.behaviour_sessions(spark, sf_dir)))
 
 
 _BOUNDS = """
@@ -50,22 +95,21 @@ _BOUNDS = """
 """
 
 
-def _bounds(spark, sf_dir):
-    bought = v.shop_purchases(spark, sf_dir)
+def _bounds(t):
     return report.date_bounds(
         [
-            (rollups.funnel_daily(v.shop_events(spark, sf_dir)), "event_date"),
-            (rollups.purchases_by_hour(bought), "event_date"),
-            (conversion_by_weekday(v.behaviour_sessions(spark, sf_dir)), "session_date"),
-            (rollups.category_daily(bought), "event_date"),
-            (rollups.brand_daily(bought), "event_date"),
+            (t.funnel, "event_date"),
+            (t.hourly, "event_date"),
+            (t.weekdays, "session_date"),
+            (t.categories, "event_date"),
+            (t.brands, "event_date"),
         ]
     )
 
 
 @query("report_bounds", _BOUNDS, "funnel hourly weekdays categories brands")
 def report_bounds(spark, sf_dir):
-    return _bounds(spark, sf_dir)
+    return _bounds(Tables(spark, sf_dir))
 
 
 @query(
@@ -77,8 +121,8 @@ def report_bounds(spark, sf_dir):
     "funnel hourly weekdays categories brands",
 )
 def relative_range(spark, sf_dir):
-    window = report.last_days(_bounds(spark, sf_dir), 7)
-    return report.filter_to(rollups.funnel_daily(v.shop_events(spark, sf_dir)), "event_date", window)
+    t = Tables(spark, sf_dir)
+    return report.filter_to(t.funnel, "event_date", report.last_days(_bounds(t), 7))
 
 
 @query("category_options", "SELECT DISTINCT category FROM categories", "categories")
@@ -106,10 +150,8 @@ def category_filter(spark, sf_dir):
     "categories brands hourly",
 )
 def price_bounds(spark, sf_dir):
-    bought = v.shop_purchases(spark, sf_dir)
-    return report.price_bounds(
-        [rollups.category_daily(bought), rollups.brand_daily(bought), rollups.purchases_by_hour(bought)]
-    )
+    t = Tables(spark, sf_dir)
+    return report.price_bounds([t.categories, t.brands, t.hourly])
 
 
 @query("price_filter", f"SELECT * FROM brands WHERE {_EVENT_DAYS} AND {_PRICED}", "brands")
@@ -130,7 +172,8 @@ _TOTALS = """
 
 @query("report_totals", _TOTALS.format(table="categories", days=_EVENT_DAYS, more=""), "funnel categories")
 def report_totals(spark, sf_dir):
-    return report.report_totals(_funnel(spark, sf_dir), _hourly(spark, sf_dir), _categories(spark, sf_dir))
+    t = Tables(spark, sf_dir)
+    return report.report_totals(_event_days(t.funnel), _event_days(t.hourly), _event_days(t.categories))
 
 
 @query(
@@ -139,9 +182,12 @@ def report_totals(spark, sf_dir):
     "funnel categories",
 )
 def report_totals_filtered(spark, sf_dir):
-    kept = report.filter_prices(report.filter_categories(_categories(spark, sf_dir), CHOSEN), *PRICES)
-    hourly = report.filter_prices(_hourly(spark, sf_dir), *PRICES)
-    return report.report_totals(_funnel(spark, sf_dir), hourly, kept, categories_chosen=True, prices_chosen=True)
+    t = Tables(spark, sf_dir)
+    kept = report.filter_prices(report.filter_categories(_event_days(t.categories), CHOSEN), *PRICES)
+    hourly = report.filter_prices(_event_days(t.hourly), *PRICES)
+    return report.report_totals(
+        _event_days(t.funnel), hourly, kept, categories_chosen=True, prices_chosen=True
+    )
 
 
 @query(
@@ -338,15 +384,15 @@ def confusion_long(spark, sf_dir):
     "funnel categories hourly daily_scores",
 )
 def insight_rows(spark, sf_dir):
-    funnel, hourly, categories = _funnel(spark, sf_dir), _hourly(spark, sf_dir), _categories(spark, sf_dir)
-    cube = scores.score_cube(v.example_scores(spark, sf_dir))
-    daily = scores.propensity_daily(cube).filter(F.col("date").between(v.START, v.END))
+    t = Tables(spark, sf_dir)
+    funnel, hourly, categories = _event_days(t.funnel), _event_days(t.hourly), _event_days(t.categories)
+    daily = scores.propensity_daily(scores.score_cube(v.scored(t.sessions)))
     return report.insight_rows(
         report.report_totals(funnel, hourly, categories),
         hourly,
         categories,
-        _weekdays(spark, sf_dir),
-        scores.weighted_score(daily),
+        _session_days(t.weekdays),
+        scores.weighted_score(daily.filter(F.col("date").between(v.START, v.END))),
     )
 
 
@@ -362,15 +408,10 @@ def insight_rows(spark, sf_dir):
 )
 def insight_rows_no_match(spark, sf_dir):
     """A range after all data: hints fill the places of the missing facts."""
-    late = {"start": "2030-01-02"}
-    funnel = report.filter_dates(rollups.funnel_daily(v.shop_events(spark, sf_dir)), "event_date", **late)
-    bought = v.shop_purchases(spark, sf_dir)
-    hourly = report.filter_dates(rollups.purchases_by_hour(bought), "event_date", **late)
-    categories = report.filter_dates(rollups.category_daily(bought), "event_date", **late)
-    weekdays = conversion_by_weekday(v.behaviour_sessions(spark, sf_dir))
-    weekdays = report.filter_dates(weekdays, "session_date", **late)
+    t, late = Tables(spark, sf_dir), ("2030-01-02", None)
+    funnel, hourly, categories = (_event_days(df, *late) for df in (t.funnel, t.hourly, t.categories))
     totals = report.report_totals(funnel, hourly, categories)
-    return report.insight_rows(totals, hourly, categories, weekdays)
+    return report.insight_rows(totals, hourly, categories, _session_days(t.weekdays, *late))
 
 
 @query(
@@ -383,12 +424,6 @@ def insight_rows_no_match(spark, sf_dir):
     "funnel hourly categories brands weekdays",
 )
 def no_match(spark, sf_dir):
-    return report.no_match(
-        [
-            _funnel(spark, sf_dir),
-            _hourly(spark, sf_dir),
-            _categories(spark, sf_dir),
-            _brands(spark, sf_dir),
-            _weekdays(spark, sf_dir),
-        ]
-    )
+    t = Tables(spark, sf_dir)
+    tables = [_event_days(df) for df in (t.funnel, t.hourly, t.categories, t.brands)]
+    return report.no_match([*tables, _session_days(t.weekdays)])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shopflow.operators import scores
 from shopflow.plans.propensity import evaluation_record
+from shopflow.sources.scratch import stored
 from workload import views as v
 from workload.registry import query
 
@@ -186,7 +187,7 @@ def split_bounds(spark, sf_dir):
 
 
 def _two_sides(spark, sf_dir):
-    scored = v.example_scores(spark, sf_dir)
+    scored = stored(v.example_scores(spark, sf_dir), "scored")
     late = F.col("session_date") >= F.lit(TEST_FROM).cast("date")
     return scored.filter(~late), scored.filter(late)
 
@@ -281,7 +282,7 @@ _REPORT_DAYS = f"date BETWEEN DATE '{v.START}' AND DATE '{v.END}'"
     "daily_scores",
 )
 def weighted_score(spark, sf_dir):
-    cube = _cube(spark, sf_dir)
+    cube = stored(_cube(spark, sf_dir), "score_cube")
     daily = scores.propensity_daily(cube).filter(F.col("date").between(v.START, v.END))
     row = scores.weighted_score(daily, scores.propensity_kpis(cube))
     return row.select(*[F.round(c, 7).alias(c) for c in row.columns])
@@ -298,7 +299,7 @@ def weighted_score(spark, sf_dir):
     "scored curve",
 )
 def threshold_lookup(spark, sf_dir):
-    cube = _cube(spark, sf_dir)
+    cube = stored(_cube(spark, sf_dir), "score_cube")
     rate = scores.weighted_score(scores.propensity_daily(cube))
     target = rate.select(scores.default_threshold("actual_session_conversion_rate").alias("x")).scalar()
     return scores.nearest_threshold(scores.threshold_curve(cube), target, scores.threshold_point(cube))

@@ -154,11 +154,15 @@ def commerce_sessions(spark: SparkSession, sf_dir: str, start=None, end=None) ->
     return sessions_in_range(features, starts, start, end)
 
 
-def example_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_session, session_date, label, pred_prob) of the behaviour sessions."""
-    return behaviour_sessions(spark, sf_dir).select(
+def scored(sessions: DataFrame) -> DataFrame:
+    return sessions.select(
         "user_session",
         "session_date",
         F.col("purchase_in_session").alias("label"),
         F.round(logistic_score(EXAMPLE_WEIGHTS, EXAMPLE_INTERCEPT), 9).alias("pred_prob"),
     )
+
+
+def example_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_session, session_date, label, pred_prob) of the behaviour sessions."""
+    return scored(behaviour_sessions(spark, sf_dir))
