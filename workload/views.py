@@ -110,7 +110,7 @@ def commerce(spark: SparkSession, sf_dir: str, user: bool = True, part: bool = T
     hours = F.col("l_linenumber") * 3 + (F.col("l_orderkey") % 3).cast("int")
     kind = F.when(F.col("l_returnflag") == "N", "view").when(F.col("l_returnflag") == "A", "cart")
     return lines.withColumn(
-        "event_time", F.timestamp_add("HOUR", hours, F.col("l_shipdate").cast("timestamp"))
+        "event_time", F.timestamp_add("HOUR", hours, F.col("l_shipdate")).cast("timestamp")
     ).select(
         "event_time",
         kind.otherwise("purchase").alias("event_type"),
