@@ -232,7 +232,7 @@ def best_weekday(spark, sf_dir):
 
 _TOP = """
     SELECT {key}, CAST(SUM(purchase_count) AS BIGINT) AS purchase_count, SUM(revenue) AS revenue,
-      ROUND(AVG(avg_price), 5) AS avg_price, SUM(revenue) / SUM(purchase_count) AS weighted_avg_price
+      ROUND(AVG(avg_price), 3) AS avg_price, SUM(revenue) / SUM(purchase_count) AS weighted_avg_price
     FROM {table} GROUP BY {key} ORDER BY revenue DESC, {key} LIMIT 10
 """
 
@@ -240,14 +240,14 @@ _TOP = """
 @query("top_categories", _TOP.format(key="category", table="categories"), "categories")
 def top_categories(spark, sf_dir):
     top = report.top_by_revenue(rollups.category_daily(v.shop_purchases(spark, sf_dir)), "category")
-    return top.withColumn("avg_price", F.round("avg_price", 5))
+    return top.withColumn("avg_price", F.round("avg_price", 3))
 
 
 @query("top_brands", _TOP.format(key="brand", table="l_brands"), "l_brands")
 def top_brands(spark, sf_dir):
     bought = purchases(v.commerce_events(spark, sf_dir, user=False))
     top = report.top_by_revenue(rollups.brand_daily(bought), "brand")
-    return top.withColumn("avg_price", F.round("avg_price", 5))
+    return top.withColumn("avg_price", F.round("avg_price", 3))
 
 
 @query(

@@ -53,7 +53,7 @@ def _cube(spark, sf_dir):
     "score_cube",
     """
     SELECT session_date, i AS bin, COUNT(*) AS sessions, CAST(SUM(label) AS BIGINT) AS positives,
-      ROUND(SUM(pred_prob), 6) AS prob_sum, COUNT(*) FILTER (pred_prob >= 0.5) AS flagged,
+      SUM(pred_prob) AS prob_sum, COUNT(*) FILTER (pred_prob >= 0.5) AS flagged,
       COUNT(*) FILTER (pred_prob >= 0.5 AND label = 1) AS flagged_positives
     FROM scored JOIN curve_edges ON pred_prob >= lo AND (pred_prob < hi OR (i = 99 AND pred_prob <= hi))
     GROUP BY session_date, i
@@ -61,7 +61,7 @@ def _cube(spark, sf_dir):
     "scored curve_edges",
 )
 def cube(spark, sf_dir):
-    return _cube(spark, sf_dir).withColumn("prob_sum", F.round("prob_sum", 6))
+    return _cube(spark, sf_dir)
 
 
 @query(

@@ -135,7 +135,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_
     + f" WHERE d.session_date BETWEEN DATE '{v.L_START}' AND DATE '{v.L_END}'",
     "scored": f"""
 SELECT user_session, session_date, purchase_in_session AS label,
-  ROUND(1.0 / (1.0 + EXP(-({_MARGIN}))), 9) AS pred_prob
+  FLOOR(1.0 / (1.0 + EXP(-({_MARGIN}))) * {v.SCORE_STEPS}) / {v.SCORE_STEPS} AS pred_prob
 FROM es""",
     "funnel": """
 SELECT event_date, COUNT(*) FILTER (event_type = 'view') AS views,

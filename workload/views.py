@@ -36,6 +36,7 @@ EXAMPLE_WEIGHTS = {
     "is_weekend": 0.25,
 }
 EXAMPLE_INTERCEPT = -0.5
+SCORE_STEPS = 2**30
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -155,11 +156,13 @@ def commerce_sessions(spark: SparkSession, sf_dir: str, start=None, end=None) ->
 
 
 def scored(sessions: DataFrame) -> DataFrame:
+    """Example scores, cut to multiples of 2^-30 so that their sums are exact in any order."""
+    steps = F.lit(float(SCORE_STEPS))
     return sessions.select(
         "user_session",
         "session_date",
         F.col("purchase_in_session").alias("label"),
-        F.round(logistic_score(EXAMPLE_WEIGHTS, EXAMPLE_INTERCEPT), 9).alias("pred_prob"),
+        (F.floor(logistic_score(EXAMPLE_WEIGHTS, EXAMPLE_INTERCEPT) * steps) / steps).alias("pred_prob"),
     )
 
 
