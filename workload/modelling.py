@@ -36,7 +36,8 @@ _KEPT = [c for c in DEFAULT_FEATURES if c != "num_purchases"]
     "ls",
 )
 def time_split(spark, sf_dir):
-    sessions = stored(v.commerce_sessions(spark, sf_dir), "sessions")
+    needed = v.commerce_sessions(spark, sf_dir).select("user_session", "session_date", LABEL)
+    sessions = stored(needed, "sessions")
     marked = model.time_split(sessions, "session_date", ["user_session"])
     return marked.groupBy("in_train").agg(
         F.count("*").alias("sessions"),
