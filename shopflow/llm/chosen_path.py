@@ -13,7 +13,8 @@ is compared in tiles of bounded size. The number of runs follows from the recall
 for at the threshold; pairs above it are found with a higher probability.
 
 In a bucket the embedded sets are compared; those estimated at ``MARGIN`` below the threshold or
-more are linked, and only a spanning forest of these links leaves the task. Its components are
+more are linked, and only a spanning forest of these links leaves the task. Of a bucket in
+several tiles, those of two blocks return only what joins the forests of each. Its components are
 groups of sets with all near duplicates of each other.
 
 Exact check. The shingles of the sets of a group are computed once more from the texts and all
@@ -44,8 +45,8 @@ MARGIN = 0.17
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
 _DRAW = np.random.Generator(np.random.PCG64(8))
-_FACTORS = _DRAW.integers(1, 1 << 32, TOKENS, np.uint64) | np.uint64(1)
-_SHIFTS = _DRAW.integers(0, 1 << 32, TOKENS, np.uint64)
+_FACTORS = _DRAW.integers(1, 1 << 32, TOKENS, np.uint32) | np.uint32(1)
+_SHIFTS = _DRAW.integers(0, 1 << 32, TOKENS, np.uint32)
 
 
 class WordHashes(dict):
@@ -89,12 +90,13 @@ def shingles(text: str, hashes: WordHashes, n: int) -> np.ndarray:
 
 def embedded(tokens: np.ndarray) -> np.ndarray:
     """The min-hash tokens of a set of shingles, 32 bits each."""
-    low = np.full(TOKENS, np.iinfo(np.uint64).max, np.uint64)
-    short = tokens >> np.uint64(32)
-    for start in range(0, len(short), 4096):
-        h = short[start : start + 4096, None] * _FACTORS + _SHIFTS
-        np.minimum(low, ((h >> np.uint64(11)) & np.uint64(0xFFFFFFFF)).min(axis=0), out=low)
-    return low.astype(np.uint32)
+    low = np.full(TOKENS, np.iinfo(np.uint32).max, np.uint32)
+    short = (tokens >> np.uint64(32)).astype(np.uint32)
+    for start in range(0, len(short), 2048):
+        h = short[start : start + 2048, None] * _FACTORS
+        h += _SHIFTS
+        np.minimum(low, h.min(axis=0), out=low)
+    return low
 
 
 def runs_for(recall: float, threshold: float) -> int:
@@ -241,13 +243,17 @@ def candidate_links(sets: DataFrame, runs: int, threshold: float) -> DataFrame:
         ids, own, tokens = zip(*rows, strict=True)
         embedding = np.frombuffer(b"".join(tokens), np.uint32).reshape(-1, TOKENS)
         own = np.array(own)
-        links = []
+        within, across = [], []
         for k in range(len(ids) - 1):
-            same = (embedding[k + 1 :] == embedding[k]).sum(axis=1) >= least
-            if key[1] != key[2]:
-                same &= own[k + 1 :] != own[k]
-            links += [(k, k + 1 + m) for m in np.flatnonzero(same).tolist()]
-        return [(ids[k], ids[r]) for k, r in enumerate(forest(links, len(ids))) if r != k]
+            same = np.flatnonzero((embedding[k + 1 :] == embedding[k]).sum(axis=1) >= least)
+            for m in (same + k + 1).tolist():
+                (within if own[m] == own[k] else across).append((k, m))
+        if key[1] == key[2]:
+            return [(ids[k], ids[r]) for k, r in enumerate(forest(within, len(ids))) if r != k]
+        # The tile of each block alone links its own sets; here only what joins these is new.
+        parts = forest(within, len(ids))
+        joined = forest([(parts[a], parts[b]) for a, b in across], len(ids))
+        return [(ids[k], ids[r]) for k, r in enumerate(joined) if r != k]
 
     made = {"a": "binary", "b": "binary"}
     return map_groups(tiles, ["node", "i", "j"], ["digest", "own", "tokens"], made, compare)
