@@ -31,10 +31,11 @@ def map_batches(
     keep: Sequence[str],
     added: dict[str, str],
     start: Callable[[], Callable[[pa.RecordBatch], Made]],
+    at_once: int = 1000,
 ) -> DataFrame:
     """Columns ``keep`` of ``rows`` as they are, and new columns from batches of rows.
 
-    ``start`` is called once in each task. Kept columns never become Python objects, so large
+    ``start`` is called once in each task; what it returns gets up to ``at_once`` rows. Kept columns never become Python objects, so large
     integers beside nulls stay exact.
     """
     fields = [rows.schema[k] for k in keep]
@@ -42,7 +43,7 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = start()
-        for batch in batches:
+        for batch in (b.slice(k, at_once) for b in batches for k in range(0, len(b), at_once)):
             index, columns = make(batch)
             kept = [batch.column(batch.schema.get_field_index(k)) for k in keep]
             if index is not None:

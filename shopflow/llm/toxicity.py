@@ -186,7 +186,7 @@ def contexts(sample: DataFrame) -> DataFrame:
         return make
 
     added = {"stem": "string", "context": "long", "label": "int"}
-    return map_batches(sample.select("text", "label"), [], added, start)
+    return map_batches(sample.select("text", "label"), [], added, start, at_once=100)
 
 
 def learn_lexicon(sample: DataFrame, evidence: float = 20.0, factor: float = 6.0, most: int = 20_000) -> dict[str, float]:
