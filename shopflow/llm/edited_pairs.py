@@ -14,7 +14,7 @@ from shopflow.llm.sketch import likeness, sketch, to_text
 def first_ids(ids: DataFrame, parts: int) -> list[int]:
     """The smallest id of each of at most ``parts`` ranges that hold about as many rows each."""
     ranges = ids.repartitionByRange(parts, "doc_id").groupBy(F.spark_partition_id())
-    return sorted(r[0] for r in ranges.agg(F.min("doc_id")).collect() if r[0] is not None)
+    return sorted(r["first"] for r in ranges.agg(F.min("doc_id").alias("first")).collect())
 
 
 def range_of(doc_id: Column, firsts: list[int]) -> Column:
