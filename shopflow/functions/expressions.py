@@ -76,26 +76,21 @@ def unit_edge(index: Column | str, bins: int) -> Column:
     return _col(index) / F.lit(float(bins))
 
 
-def edge_bin(value: Column | str, edges: Column | str, max_edges: int) -> Column:
+def edge_bin(value: Column | str, edges: Column | str) -> Column:
     """Index of the bin of ``value`` among ascending ``edges``; last bin closed.
 
-    Counts the interior edges at or below the value: a fixed number of comparisons, which
-    compiles to straight code where a lambda over the array would be interpreted.
+    Counts the edges at or below the value, however many there are.
     """
     value, edges = _col(value), _col(edges)
-    hits = [
-        F.when((F.lit(i) < F.size(edges) - 1) & (value >= F.get(edges, F.lit(i))), 1).otherwise(0)
-        for i in range(1, max_edges - 1)
-    ]
-    total = F.lit(0)
-    for h in hits:
-        total = total + h
-    return total
+    reached = F.size(F.filter(edges, lambda e: e <= value))
+    return F.greatest(F.least(reached, F.size(edges) - 1) - 1, F.lit(0))
 
 
 def usable_edges(quantiles: Column | str) -> Column:
     """Sorted distinct finite edges, widened where fewer than three are left.
 
+    Fixed values: the least widening 1.0 and its share of a tenth.
+
     One value v becomes (v-e, v, v+e) with e = max(1, |v|/10); two become low, midpoint,
     high. No finite value at all gives an empty array.
     """

@@ -68,17 +68,15 @@ def session_distributions(
     edges: DataFrame,
     metrics: Sequence[str] = SESSION_METRICS,
     date_column: str = "session_date",
-    bins: int = 10,
 ) -> DataFrame:
-    """Sessions per metric, day and bin. ``edges`` holds one row per metric.
+    """Sessions per metric, day and bin. ``edges`` holds one row per metric, of any length.
 
     The bin's edges are the grouping key, so the aggregation buffers stay fixed width.
     """
-    index = edge_bin("value", "edges", bins + 1)
     binned = (
         metric_values(sessions, metrics, date_column)
-        .join(F.broadcast(edges), "metric")
-        .withColumn("bin", index)
+        .join(edges, "metric")
+        .withColumn("bin", edge_bin("value", "edges"))
         .select(
             "metric",
             F.col(date_column).alias("session_date"),

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from py4j.protocol import Py4JError
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shopflow.functions.expressions import key_share, ratio
@@ -107,11 +106,14 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(path: str) -> PipelineModel | None:
-    """The saved model, or None if it cannot be read."""
+    """The saved model, or None if there is nothing at ``path``; a damaged one is an error."""
     try:
-        return PipelineModel.load(path)
-    except (Py4JError, PySparkException, ValueError, OSError):
+        SparkSession.active().read.text(f"{path}/metadata")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
+    return PipelineModel.load(path)
 
 
 def score(
@@ -141,9 +143,9 @@ def model_weights(model: PipelineModel) -> tuple[dict[str, float], float]:
 
 
 def evaluator_auc(model: PipelineModel, sessions: DataFrame, label: str = LABEL) -> float:
-    """AUC by MLlib's evaluator, which thins the curve to about 1000 points."""
+    """AUC by MLlib's evaluator, over every distinct score."""
     scored = model.transform(fill_missing(sessions, model_features(model), label))
-    return BinaryClassificationEvaluator(labelCol=label).evaluate(scored)
+    return BinaryClassificationEvaluator(labelCol=label, numBins=0).evaluate(scored)
 
 
 def coefficient_rows(model: PipelineModel, like: DataFrame) -> DataFrame:

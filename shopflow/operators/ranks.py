@@ -16,8 +16,8 @@ from shopflow.sources.scratch import stored
 
 
 def default_buckets(df: DataFrame) -> int:
-    """Twice the shuffle partitions, between 64 and 1024: enough tasks, a small plan."""
-    return min(1024, max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """Twice the shuffle partitions, and 64 at least: tasks follow the session's setting."""
+    return max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _cuts(order_by: str, buckets: int) -> Column:
@@ -51,16 +51,16 @@ def running_totals(
     """Add ``<m>_before`` (sum over smaller ``order_by``) and ``<m>_total`` per measure.
 
     ``order_by`` must be unique within ``key``: aggregate first, which also removes skew
-    from repeated values. ``key`` is for a few named series, such as metrics. The tables
-    broadcast here hold one row per key, or per key and bucket. ``df`` is read three
-    times, so it is stored once first.
+    from repeated values. The joined tables hold one row per key, or per key and bucket;
+    whether to broadcast them is left to their size. ``df`` is read three times, so it is
+    stored once first.
     """
     buckets = buckets or default_buckets(df)
     keys = [key] if key else []
     df = stored(df, "ranked")
     if key:
         cuts = df.groupBy(key).agg(_cuts(order_by, buckets).alias("cuts"))
-        cut = df.join(F.broadcast(cuts), key)
+        cut = df.join(cuts, key)
     else:
         cut = df.withColumn("cuts", df.agg(_cuts(order_by, buckets).alias("cuts")).scalar())
     placed = _placed(cut, order_by, buckets)
@@ -79,7 +79,7 @@ def running_totals(
         .orderBy(order_by)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = placed.join(F.broadcast(offsets), [*keys, "bucket"])
+    joined = placed.join(offsets, [*keys, "bucket"])
     before = {
         f"{m}_before": F.col(f"{m}_offset") + F.coalesce(F.sum(m).over(inside), F.lit(0))
         for m in measures

@@ -18,10 +18,14 @@ REPORT_BINS = 10
 
 
 def score_cube(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Sums per (day, hundredth of score): at most 100 rows a day."""
+    """Sums per (day, hundredth of score): at most 100 rows a day.
+
+    Rows without a score, NULL or NaN, are left out. The cube keeps the threshold that its
+    flagged counts belong to.
+    """
     flagged = F.col("pred_prob") >= F.lit(threshold)
     return (
-        scored.filter(F.col("pred_prob").isNotNull())
+        scored.filter(F.col("pred_prob").isNotNull() & ~F.isnan("pred_prob"))
         .groupBy("session_date", unit_bin("pred_prob", CURVE_BINS).alias("bin"))
         .agg(
             F.count("*").alias("sessions"),
@@ -30,9 +34,15 @@ def score_cube(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
             F.count_if(flagged).alias("flagged"),
             F.coalesce(F.sum(F.when(flagged, F.col("label"))), F.lit(0)).alias("flagged_positives"),
         )
+        .withColumn("threshold", F.lit(float(threshold)))
     )
 
 
+def _cube_threshold() -> Column:
+    """The threshold a cube was built with; the default of 0.5 where the cube has no row."""
+    return F.coalesce(F.max("threshold"), F.lit(0.5)).alias("threshold")
+
+
 def propensity_daily(cube: DataFrame) -> DataFrame:
     daily = cube.groupBy(F.col("session_date").alias("date")).agg(
         F.sum("sessions").alias("sessions"),
@@ -50,8 +60,10 @@ def propensity_daily(cube: DataFrame) -> DataFrame:
     )
 
 
-def propensity_kpis(cube: DataFrame, threshold: float = 0.5) -> DataFrame:
+def propensity_kpis(cube: DataFrame) -> DataFrame:
+    """Rates over all scored sessions, and the share flagged at the cube's threshold."""
     sums = cube.agg(
+        _cube_threshold(),
         *[
             F.coalesce(F.sum(c), F.lit(0)).alias(c)
             for c in ("sessions", "positives", "prob_sum", "flagged")
@@ -64,7 +76,7 @@ def propensity_kpis(cube: DataFrame, threshold: float = 0.5) -> DataFrame:
         F.round(actual, 6).alias("actual_session_conversion_rate"),
         F.round(predicted - actual, 6).alias("calibration_gap"),
         F.round(ratio("flagged", "sessions"), 6).alias("high_propensity_share"),
-        F.round(F.lit(float(threshold)), 6).alias("threshold"),
+        F.round("threshold", 6).alias("threshold"),
     )
 
 
@@ -104,16 +116,17 @@ def calibration_bins(cube: DataFrame) -> DataFrame:
     ).orderBy("bin_low")
 
 
-def threshold_point(cube: DataFrame, threshold: float = 0.5) -> DataFrame:
+def threshold_point(cube: DataFrame) -> DataFrame:
     """Share, precision and recall at the threshold the cube was built with."""
     sums = cube.agg(
+        _cube_threshold(),
         *[
             F.coalesce(F.sum(c), F.lit(0)).alias(c)
             for c in ("sessions", "positives", "flagged", "flagged_positives")
         ]
     )
     return sums.select(
-        F.lit(float(threshold)).alias("threshold"),
+        "threshold",
         F.round(ratio("flagged", "sessions"), 6).alias("pct_sessions_above"),
         F.round(ratio("flagged_positives", "flagged"), 6).alias("precision_at_threshold"),
         F.round(ratio("flagged_positives", "positives"), 6).alias("recall_at_threshold"),
@@ -174,8 +187,16 @@ def predicted_label(threshold: float = 0.5) -> Column:
 
 
 def confusion_scores(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Confusion counts and the scores derived from them, as one row."""
-    return confusion_from_counts(score_counts(scored), threshold)
+    """Confusion counts and the scores derived from them, as one row.
+
+    Each session counts by itself; sums combine before the one row they meet in.
+    """
+    each = scored.filter(F.col("pred_prob").isNotNull()).select(
+        "pred_prob",
+        (F.col("label") == 1).cast("bigint").alias("pos"),
+        (F.col("label") == 0).cast("bigint").alias("neg"),
+    )
+    return confusion_from_counts(each, threshold)
 
 
 def score_counts(scored: DataFrame) -> DataFrame:
@@ -297,10 +318,14 @@ def split_provenance(train: DataFrame, test: DataFrame, column: str, configured:
     )
 
 
-def weighted_score(daily: DataFrame, kpis: DataFrame | None = None) -> DataFrame:
+def weighted_score(
+    daily: DataFrame, kpis: DataFrame | None = None, totals: DataFrame | None = None
+) -> DataFrame:
     """Session-weighted mean score, actual rate and their gap over the given days.
 
-    No days at all gives NULL, or the stored KPI values where those are supplied.
+    No days at all gives the stored KPI values, where those are supplied and ``available``.
+    Without these the actual rate is purchases / sessions of ``totals`` (one row), if given;
+    what is left is NULL.
     """
     sums = daily.agg(
         F.count("*").alias("days"),
@@ -308,13 +333,16 @@ def weighted_score(daily: DataFrame, kpis: DataFrame | None = None) -> DataFrame
         F.coalesce(F.sum("sessions"), F.lit(0)).alias("sessions"),
         F.coalesce(F.sum("purchases"), F.lit(0)).alias("purchases"),
     )
-    stored = {"predicted_conversion_rate": None, "actual_session_conversion_rate": None, "calibration_gap": None}
+    names = ("predicted_conversion_rate", "actual_session_conversion_rate", "calibration_gap")
+    fallback = dict.fromkeys(names, F.lit(None).cast("double"))
     if kpis is not None:
-        row = kpis.select(F.struct(*stored).alias("row")).scalar()
-        sums = sums.withColumn("kpis", row)
-        stored = {c: F.col(f"kpis.{c}") for c in stored}
-    null = F.lit(None).cast("double")
-    fallback = {c: null if v is None else v for c, v in stored.items()}
+        usable = kpis.filter(F.col("available").cast("boolean")) if "available" in kpis.columns else kpis
+        sums = sums.withColumn("kpis", usable.select(F.struct(*names).alias("row")).scalar())
+        fallback = {c: F.col(f"kpis.{c}") for c in names}
+    if totals is not None:
+        sums = sums.withColumn("rate", totals.select(ratio("purchases", "sessions").alias("r")).scalar())
+        actual = names[1]
+        fallback[actual] = F.coalesce(fallback[actual], F.col("rate"))
     has_days = F.col("days") > 0
     rates = sums.select(
         F.when(has_days, ratio("won", "sessions"))
@@ -336,10 +364,17 @@ def default_threshold(base_rate: Column | str) -> Column:
     return F.least(F.greatest(usable, F.lit(0.01)), F.lit(0.99))
 
 
-def nearest_threshold(curve: DataFrame, target: Column, fallback: DataFrame | None = None) -> DataFrame:
+def nearest_threshold(
+    curve: DataFrame,
+    target: Column,
+    fallback: DataFrame | None = None,
+    kpis: DataFrame | None = None,
+) -> DataFrame:
     """The curve row closest to ``target`` (lower threshold on a tie).
 
-    With no curve row, the row of ``fallback`` (a threshold_point table) closest to 0.5.
+    With no curve row, threshold and share of ``kpis`` (a propensity_kpis record that is
+    ``available``), if given; without these, the row of ``fallback`` (a threshold_point table)
+    closest to 0.5; without any, the threshold 0.5 alone.
     """
     null = F.lit(None).cast("double")
     rows = curve.filter(F.col("threshold").isNotNull()).select(
@@ -351,9 +386,20 @@ def nearest_threshold(curve: DataFrame, target: Column, fallback: DataFrame | No
         "recall",
         "f1",
     )
+    if kpis is not None:
+        stored = kpis.filter(F.col("available").cast("boolean") & F.col("threshold").isNotNull())
+        rows = rows.unionByName(
+            stored.select(
+                F.lit(1).alias("source"),
+                F.lit(0.0).alias("distance"),
+                "threshold",
+                "high_propensity_share",
+                *[null.alias(c) for c in ("precision", "recall", "f1")],
+            )
+        )
     if fallback is not None:
         spare = fallback.filter(F.col("threshold").isNotNull()).select(
-            F.lit(1).alias("source"),
+            F.lit(2).alias("source"),
             F.abs(F.col("threshold") - 0.5).alias("distance"),
             "threshold",
             F.col("pct_sessions_above").alias("high_propensity_share"),
@@ -362,6 +408,13 @@ def nearest_threshold(curve: DataFrame, target: Column, fallback: DataFrame | No
             null.alias("f1"),
         )
         rows = rows.unionByName(spare)
+    last = curve.sparkSession.range(1).select(
+        F.lit(3).alias("source"),
+        F.lit(0.0).alias("distance"),
+        F.lit(0.5).alias("threshold"),
+        *[null.alias(c) for c in ("high_propensity_share", "precision", "recall", "f1")],
+    )
+    rows = rows.unionByName(last)
     return rows.orderBy("source", "distance", "threshold").limit(1).drop("source", "distance")
 
 

@@ -31,7 +31,23 @@ from shopflow.operators.sessions import (
 from shopflow.schema import SHOP_EVENT_TYPES, empty_table
 from shopflow.sources.readers import read_record, require_rows
 from shopflow.sources.scratch import stored
-from shopflow.sources.writers import save_mode, write_record, write_table
+from shopflow.sources.writers import require_absent, write_record, write_table
+
+
+REPORT_TABLES = (
+    "funnel_daily",
+    "purchases_by_hour",
+    "conversion_by_weekday",
+    "top_categories",
+    "top_brands",
+    "session_distributions",
+    "propensity_daily",
+    "propensity_hist",
+    "propensity_threshold",
+    "calibration_bins",
+    "threshold_curves",
+)
+REPORT_RECORDS = ("kpis", "model_metrics", "propensity_drivers", "propensity_kpis")
 
 
 class Report(NamedTuple):
@@ -65,11 +81,11 @@ def propensity_tables(
     tables = {
         "propensity_daily": scores.propensity_daily(cube),
         "propensity_hist": scores.score_histogram(cube),
-        "propensity_threshold": scores.threshold_point(cube, threshold),
+        "propensity_threshold": scores.threshold_point(cube),
         "calibration_bins": scores.calibration_bins(cube),
         "threshold_curves": scores.threshold_curve(cube),
     }
-    return Report(tables, {"propensity_kpis": scores.propensity_kpis(cube, threshold)})
+    return Report(tables, {"propensity_kpis": scores.propensity_kpis(cube)})
 
 
 def build_report(
@@ -83,7 +99,13 @@ def build_report(
     wanted: Sequence[str] = DEFAULT_FEATURES,
     threshold: float = 0.5,
     currency: str = "USD",
+    edges: DataFrame | None = None,
 ) -> Report:
+    """All report tables and records. Storing what several of them share starts jobs at once.
+
+    ``edges`` of the session distributions are approximate quantiles if not given; see
+    ``exact_edges``.
+    """
     in_range = reportable_events(events, start, end, event_types)
     days = stored(session_days(in_range), "session_days")
     cube = stored(rollups.commerce_cube(purchases(in_range)), "commerce_cube")
@@ -96,7 +118,9 @@ def build_report(
         "conversion_by_weekday": conversion_by_weekday(sessions),
         "top_categories": rollups.rollup_from_cube(cube, ["event_date", "category"], "top_categories"),
         "top_brands": rollups.rollup_from_cube(cube, ["event_date", "brand"], "top_brands"),
-        "session_distributions": session_distributions(sessions, approx_edges(sessions)),
+        "session_distributions": session_distributions(
+            sessions, approx_edges(sessions) if edges is None else edges
+        ),
     }
     propensity = propensity_tables(spark, sessions, model, threshold)
     if model is None:
@@ -125,19 +149,21 @@ def export_report(
     end: str | date | None = None,
     **settings,
 ) -> Report:
-    """Check the inputs, then write every table and record under ``out``."""
+    """Check inputs and targets, then write every table and record under ``out``.
+
+    Without ``overwrite`` nothing is computed or written if any of the targets is there.
+    """
     first, last = as_date(start), as_date(end)
     if first and last and first > last:
         raise ValueError(f"start {first} is after end {last}")
     events = require_rows(spark, events_path, "events are missing or empty; run ingest")
     features = require_rows(spark, features_path, "session features are missing or empty")
     metrics = read_record(spark, metrics_path)
+    if not overwrite:
+        require_absent(spark, [f"{out}/{name}" for name in (*REPORT_TABLES, *REPORT_RECORDS)])
     report = build_report(spark, events, features, load_model(model_path), start, end, **settings)
-    marker = report.records["kpis"].write.mode(save_mode(overwrite))
-    marker.option("ignoreNullFields", False).json(f"{out}/kpis")
-    write_record(metrics, f"{out}/model_metrics")
-    for name in ("propensity_drivers", "propensity_kpis"):
-        write_record(report.records[name], f"{out}/{name}")
+    for name, record in {**report.records, "model_metrics": metrics}.items():
+        write_record(record, f"{out}/{name}", overwrite)
     for name, table in report.tables.items():
-        write_table(table, f"{out}/{name}")
+        write_table(table, f"{out}/{name}", overwrite)
     return report

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from shopflow.operators.events import clean_events, clean_summary
 from shopflow.operators.sessions import feature_summary, session_features
-from shopflow.sources.readers import read_raw_events, require_rows, smoke_rows
+from shopflow.schema import RAW_COLUMNS
+from shopflow.sources.readers import any_value, fits, line_counts, read_raw_lines, require_rows
 from shopflow.sources.writers import save_mode, write_events
 
 
@@ -19,7 +20,6 @@ def ingest(
     csv_paths: str | Sequence[str],
     events_path: str,
     overwrite: bool = False,
-    limit: int | None = None,
     cluster: bool = True,
 ) -> DataFrame:
     """Clean raw files into day-partitioned events and return the one-row summary.
@@ -28,11 +28,13 @@ def ingest(
     writing would be cheaper but counts rows again whenever a lost executor's tasks are
     rerun. The rest of the summary comes from the columns of the written table.
     """
-    raw = smoke_rows(read_raw_events(spark, csv_paths), limit)
+    lines = read_raw_lines(spark, csv_paths)
+    raw = lines.filter(fits() & any_value()).select(*RAW_COLUMNS)
     write_events(clean_events(raw), events_path, overwrite, cluster=cluster)
     events = require_rows(spark, events_path, "no valid rows after cleaning")
-    seen = raw.agg(F.count("*").alias("input_rows"))
-    return clean_summary(events).select(seen.scalar().alias("input_rows"), "*")
+    seen = line_counts(lines).select(F.struct("*").alias("seen"))
+    summary = clean_summary(events).withColumn("seen", seen.scalar())
+    return summary.select("seen.input_rows", "seen.malformed_rows", *summary.drop("seen").columns)
 
 
 def build_features(

@@ -5,26 +5,55 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopflow.schema import RAW_COLUMNS, RAW_EVENT_SCHEMA, empty_table
 
 
+#: Holds the text of a line that doesn't fit the schema.
+MALFORMED = "_malformed"
+
+
+def _path_missing(exc: AnalysisException) -> bool:
+    return exc.getCondition() == "PATH_NOT_FOUND"
+
+
+def read_raw_lines(spark: SparkSession, paths: str | Sequence[str], **options: str) -> DataFrame:
+    """Event CSV files with a header, and in ``MALFORMED`` each line that doesn't fit the schema."""
+    schema = T.StructType([*RAW_EVENT_SCHEMA.fields, T.StructField(MALFORMED, T.StringType())])
+    return (
+        spark.read.schema(schema)
+        .options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED, **options)
+        .csv(paths if isinstance(paths, str) else list(paths))
+    )
+
+
 def read_raw_events(spark: SparkSession, paths: str | Sequence[str], **options: str) -> DataFrame:
     """Event CSV files with a header; lines that do not fit the schema are dropped.
 
     Spark parses only the columns a query uses, so a count would let malformed lines pass.
     The filter names every column, which makes any query drop the same lines.
     """
-    raw = (
-        spark.read.schema(RAW_EVENT_SCHEMA)
-        .options(header=True, mode="DROPMALFORMED", **options)
-        .csv(paths if isinstance(paths, str) else list(paths))
+    raw = read_raw_lines(spark, paths, **options)
+    return raw.filter(fits() & any_value()).select(*RAW_COLUMNS)
+
+
+def any_value() -> Column:
+    return F.coalesce(*[F.col(c).cast("string") for c in RAW_COLUMNS]).isNotNull()
+
+
+def fits() -> Column:
+    return F.col(MALFORMED).isNull()
+
+
+def line_counts(lines: DataFrame) -> DataFrame:
+    """input_rows that fit the schema and malformed_rows of :func:`read_raw_lines`, as one row."""
+    return lines.agg(
+        F.count_if(fits() & any_value()).alias("input_rows"),
+        F.count_if(~fits()).alias("malformed_rows"),
     )
-    anything = F.coalesce(*[F.col(c).cast("string") for c in RAW_COLUMNS])
-    return raw.filter(anything.isNotNull())
 
 
 def month_files(months: Sequence[str], template: str = "{month}.csv") -> list[str]:
@@ -33,20 +62,38 @@ def month_files(months: Sequence[str], template: str = "{month}.csv") -> list[st
     return [template.format(month=m) for m in months]
 
 
-def read_months(
+def absent_months(
     spark: SparkSession, folder: str, months: Sequence[str], template: str = "{month}.csv"
-) -> DataFrame:
-    """Raw events of the months that have a file or folder; an error if none has."""
-    names = ",".join(month_files(months, template))
-    try:
-        return read_raw_events(spark, f"{folder.rstrip('/')}/{{{names}}}")
-    except AnalysisException as exc:
-        raise FileNotFoundError(f"none of {names} in {folder}") from exc
+) -> list[str]:
+    """Those of the months that have no file or folder."""
+    absent = []
+    for month, name in zip(months, month_files(months, template), strict=True):
+        try:
+            spark.read.schema("line string").text(f"{folder.rstrip('/')}/{name}")
+        except AnalysisException as exc:
+            if not _path_missing(exc):
+                raise
+            absent.append(month)
+    return absent
 
 
-def smoke_rows(raw: DataFrame, limit: int | None) -> DataFrame:
-    """The first ``limit`` rows Spark comes across, for smoke runs; all rows for None."""
-    return raw.limit(limit) if limit else raw
+def read_months(
+    spark: SparkSession,
+    folder: str,
+    months: Sequence[str],
+    template: str = "{month}.csv",
+    allow_missing: bool = False,
+) -> DataFrame:
+    """Raw events of the months, each a file or folder.
+
+    An absent month is an error. With ``allow_missing`` only the absence of all is;
+    :func:`absent_months` names those that are left out.
+    """
+    absent = absent_months(spark, folder, months, template)
+    if absent and (not allow_missing or len(absent) == len(months)):
+        raise FileNotFoundError(f"no {', '.join(month_files(absent, template))} in {folder}")
+    there = [m for m in months if m not in absent]
+    return read_raw_events(spark, [f"{folder.rstrip('/')}/{n}" for n in month_files(there, template)])
 
 
 def file_manifest(
@@ -65,7 +112,9 @@ def file_manifest(
             .load(folder)
             .select("path", "length")
         )
-    except AnalysisException:
+    except AnalysisException as exc:
+        if not _path_missing(exc):
+            raise
         listed = spark.createDataFrame([], "path STRING, length BIGINT")
     entry = F.substring_index(F.substring_index("path", base, -1), "/", 1)
     sizes = listed.groupBy(entry.alias("name")).agg(F.sum("length").alias("size_bytes"))
@@ -93,7 +142,9 @@ def read_optional(spark: SparkSession, path: str, table: str) -> DataFrame:
     """The Parquet table at ``path``, or the typed empty table if there is none."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as exc:
+        if not _path_missing(exc):
+            raise
         return empty_table(spark, table)
 
 

@@ -8,9 +8,11 @@ it into a single task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,9 +72,21 @@ def write_split(sessions: DataFrame, train_path: str, test_path: str) -> None:
     write_table(sessions.filter("NOT in_train").drop("in_train"), test_path)
 
 
-def write_record(record: DataFrame, path: str) -> None:
+def require_absent(spark: SparkSession, paths: Sequence[str]) -> None:
+    """An error that names the first of ``paths`` with anything in it."""
+    for path in paths:
+        try:
+            spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            raise FileExistsError(path)
+
+
+def write_record(record: DataFrame, path: str, overwrite: bool = True) -> None:
     """A one-row table as a JSON file."""
-    record.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    record.coalesce(1).write.mode(save_mode(overwrite)).option("ignoreNullFields", False).json(path)
 
 
 def record_as_rows(record: DataFrame) -> DataFrame:

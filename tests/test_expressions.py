@@ -70,7 +70,7 @@ def test_edge_bin_agrees_with_search_over_edges(spark, vs, n):
     inside = [v for v in vs if edges[0] <= v <= edges[-1]]
     df = values(spark, inside).withColumn("e", F.array(*[F.lit(e) for e in edges]))
     want = [min(bisect_right(edges, v) - 1, len(edges) - 2) for v in inside]
-    assert in_order(df.select("i", x.edge_bin("v", "e", 11).alias("out"))) == want
+    assert in_order(df.select("i", x.edge_bin("v", "e").alias("out"))) == want
 
 
 def test_usable_edges(spark):

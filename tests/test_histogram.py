@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 import datetime as dt
 
 from conftest import plan_of, rows
@@ -71,3 +73,13 @@ def test_one_aggregation_over_fixed_width_buffers(spark):
     df = v.behaviour_sessions(spark, DIR).cache()
     plan = plan_of(hi.session_distributions(df, hi.approx_edges(df)))
     assert "SortAggregate" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("bins", [1, 2, 10, 11, 20, 40])
+def test_every_edge_counts(spark, bins):
+    df = spark.range(1000).selectExpr("date'2024-01-01' AS session_date", "id AS total_events")
+    edges = hi.exact_edges(df, ["total_events"], bins)
+    counts = hi.session_distributions(df, edges, ["total_events"]).collect()
+    assert sum(r["count"] for r in counts) == 1000
+    if bins >= 10:
+        assert len(counts) == bins and max(r["count"] for r in counts) <= 1000 // bins + 2

@@ -110,8 +110,10 @@ def test_inputs_are_checked_before_anything_is_written(spark, run, tmp_path):
     with pytest.raises(FileNotFoundError):
         export.export_report(spark, at["events"], out, at["metrics"], at["model"], out)
     assert not Path(out).exists()
-    with pytest.raises(AnalysisException):
+    before = {p: p.stat().st_mtime_ns for p in Path(at["report"]).rglob("*") if p.is_file()}
+    with pytest.raises(FileExistsError, match="funnel_daily"):
         export.export_report(spark, at["events"], at["features"], at["metrics"], at["model"], at["report"])
+    assert before == {p: p.stat().st_mtime_ns for p in Path(at["report"]).rglob("*") if p.is_file()}
 
 
 def test_random_method(spark, run, tmp_path):

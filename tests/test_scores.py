@@ -177,3 +177,39 @@ def test_backfills(spark):
     text = "bin_low STRING, bin_high STRING, mean_pred_prob STRING, actual_rate STRING, sessions STRING"
     bins = spark.createDataFrame([("0.0", "0.1", "0.05", "x", "3"), ("0.1", "0.2", "0.15", "0.1", None)], text)
     assert rows(sc.clean_calibration(bins)) == [(0.1, 0.2, 0.15, 0.1, 0.0, "0.10-0.20")]
+
+
+def test_a_cube_keeps_its_threshold(spark, sample):
+    cube = sc.score_cube(sample, threshold=0.9)
+    assert sc.threshold_point(cube).first().threshold == 0.9
+    assert sc.propensity_kpis(cube).first().threshold == 0.9
+
+
+def test_scores_that_are_not_numbers_are_left_out(spark):
+    cube = sc.score_cube(scored(spark, [(1, 0.5), (0, float("nan")), (0, None)]))
+    assert cube.agg({"sessions": "sum"}).first()[0] == 1
+    assert all(r.threshold is not None for r in sc.threshold_curve(cube).collect())
+
+
+def test_threshold_falls_back_to_the_record_then_the_row_then_a_half(spark, sample):
+    from pyspark.sql import functions as F
+
+    cube = sc.score_cube(sample, threshold=0.4)
+    none = sc.threshold_curve(cube).where("threshold < 0")
+    kpis, point = sc.propensity_kpis(cube), sc.threshold_point(sc.score_cube(sample, threshold=0.6))
+    absent = kpis.withColumn("available", F.lit(False))
+    at = F.lit(0.1)
+    assert sc.nearest_threshold(none, at, point, kpis).first().threshold == 0.4
+    assert sc.nearest_threshold(none, at, point, absent).first().threshold == 0.6
+    assert sc.nearest_threshold(none, at).first().threshold == 0.5
+
+
+def test_actual_rate_falls_back_to_the_totals(spark, sample):
+    from pyspark.sql import functions as F
+
+    cube = sc.score_cube(sample)
+    none = sc.propensity_daily(cube).where("date IS NULL")
+    absent = sc.propensity_kpis(cube).withColumn("available", F.lit(False))
+    totals = spark.sql("SELECT 3 AS purchases, 12 AS sessions")
+    row = sc.weighted_score(none, absent, totals).first()
+    assert row.actual_session_conversion_rate == 0.25 and row.predicted_conversion_rate is None

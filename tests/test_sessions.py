@@ -38,6 +38,10 @@ def log(spark):
     )
 
 
+def starts_of(events):
+    return se.starts_from_session_days(se.session_days(events))
+
+
 def test_features_of_edge_sessions(spark, log):
     table = se.session_features(log)
     assert [(f.name, f.dataType) for f in table.schema] == [
@@ -64,7 +68,7 @@ def test_feature_summary(spark, log):
 def test_join_dates_sessions_by_first_event_in_range(spark, log):
     features = se.session_features(log)
     in_range = log.filter("event_date >= '2024-03-04' AND user_session IS NOT NULL")
-    joined = se.sessions_in_range(features, se.session_starts(in_range), "2024-03-04", "2024-03-04")
+    joined = se.sessions_in_range(features, starts_of(in_range), "2024-03-04", "2024-03-04")
     got = {r.user_session: (r.session_date, r.total_events) for r in joined.collect()}
     assert got == {"night": (dt.date(2024, 3, 4), 3), "views": (dt.date(2024, 3, 4), 3)}
 
@@ -75,20 +79,21 @@ def test_one_scan_gives_the_joined_rows(spark, log):
 
     names = [c.split(" ")[0] for c in TABLES["session_features"].split(", ")]
     for bounds in ((None, None), ("2024-03-04", None), ("2024-03-02", "2024-03-03"), (None, "2024-01-01")):
-        starts = se.session_starts(reportable_events(log, *bounds))
+        starts = starts_of(reportable_events(log, *bounds))
         joined = se.sessions_in_range(se.session_features(log), starts, *bounds).select(*names)
         assert rows(se.session_features_in_range(log, *bounds)) == rows(joined)
 
 
 def test_day_of_week_is_derived_when_absent(spark, log):
     features = se.session_features(log).drop("day_of_week")
-    joined = se.sessions_in_range(features, se.session_starts(log.dropna(subset=["user_session"])))
+    joined = se.sessions_in_range(features, starts_of(log.dropna(subset=["user_session"])))
     assert {r.user_session: r.day_of_week for r in joined.collect()} == {"one": 7, "night": 1, "views": 2}
 
 
 def test_session_days_carry_the_starts(spark, log):
     kept = log.dropna(subset=["user_session"])
-    direct = rows(se.session_starts(kept))
+    first = kept.groupBy("user_session").agg(F.min("event_time").alias("session_start"))
+    direct = rows(first.withColumn("session_date", F.to_date("session_start")))
     assert rows(se.starts_from_session_days(se.session_days(kept))) == direct
     assert se.session_days(kept).filter("user_session = 'night'").agg(F.count_distinct("event_date")).first()[0] == 2
 

@@ -141,7 +141,7 @@ def calibration_bins(spark, sf_dir):
 )
 def threshold_point(spark, sf_dir):
     at = scores.score_cube(v.example_scores(spark, sf_dir), threshold=0.4)
-    return scores.threshold_point(at, threshold=0.4)
+    return scores.threshold_point(at)
 
 
 @query("threshold_curve", "SELECT * FROM curve", "curve")

@@ -13,10 +13,7 @@ from pyspark.sql import functions as F
 from shopflow.operators.events import purchases, reportable_events
 from shopflow.operators.model import logistic_score
 from shopflow.operators.sessions import (
-    session_features,
     session_features_in_range,
-    session_starts,
-    sessions_in_range,
 )
 
 # Report range used by the queries that filter days.
@@ -150,9 +147,8 @@ def behaviour_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commerce_sessions(spark: SparkSession, sf_dir: str, start=None, end=None) -> DataFrame:
-    features = session_features(commerce(spark, sf_dir))
-    starts = session_starts(commerce_events(spark, sf_dir, start, end, user=False, part=False))
-    return sessions_in_range(features, starts, start, end)
+    """Features and dates of the commerce sessions with an event in range, in one scan."""
+    return session_features_in_range(commerce(spark, sf_dir), start, end)
 
 
 def scored(sessions: DataFrame) -> DataFrame:
