@@ -173,8 +173,12 @@ def learn(docs: DataFrame, usable: Column, rows: int = 800) -> Model:
     """
     known = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = known.select("doc_id", "lang").withColumn("place", F.row_number().over(order))
-    # Spark keeps the first rows of each task only before it shuffles.
+    spread = Window.partitionBy("lang", "part").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), 256).alias("part"))
+    # Spark keeps the first rows of each task before it shuffles; a common language is ranked in
+    # parts first, so that the last window gets a bounded number of rows.
+    ids = ids.withColumn("place", F.row_number().over(spread)).where(F.col("place") <= rows)
+    ranked = ids.withColumn("place", F.row_number().over(order))
     chosen = stored(ranked.where(F.col("place") <= rows).select("doc_id").distinct(), "chosen")
     lettered = known.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     sample = lettered.join(F.broadcast(chosen), "doc_id")  # rows times languages at most
