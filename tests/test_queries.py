@@ -31,6 +31,17 @@ CHECKED = [
     "correlation_drivers",
     "report_totals_filtered",
     "partition_roundtrip",
+    "score_cube",
+    "threshold_point_other",
+    "threshold_lookup_no_curve",
+    "weighted_score",
+    "weighted_score_no_scores",
+    "session_histogram_20_bins",
+    "approx_histogram_totals",
+    "fitted_model_scores",
+    "fitted_model_checks",
+    "degraded_outputs",
+    "insight_rows",
 ]
 
 

@@ -96,14 +96,13 @@ def event_filters(spark, sf_dir):
 
 @query(
     "event_filters_all_types",
-    f"""
-    SELECT event_type, COUNT(*) AS events FROM e
-    WHERE user_session IS NOT NULL AND event_date >= DATE '{v.START}' GROUP BY event_type
+    """
+    SELECT event_type, COUNT(*) AS events FROM e WHERE user_session IS NOT NULL GROUP BY event_type
     """,
     "e",
 )
 def event_filters_all_types(spark, sf_dir):
-    kept = reportable_events(v.behaviour(spark, sf_dir), start=v.START, event_types=None)
+    kept = reportable_events(v.behaviour(spark, sf_dir), event_types=None)
     return kept.groupBy("event_type").agg(F.count("*").alias("events"))
 
 

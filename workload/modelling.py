@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shopflow.functions.selection import (
@@ -14,7 +15,7 @@ from shopflow.functions.selection import (
 from shopflow.operators import model, scores
 from shopflow.plans.export import propensity_tables
 from shopflow.plans.propensity import evaluation_record
-from shopflow.sources.scratch import stored
+from shopflow.sources.scratch import scratch_path, stored
 from workload import views as v
 from workload.registry import query
 
@@ -181,13 +182,86 @@ def trained_model_curve(spark, sf_dir):
     return scores.threshold_curve(scores.score_cube(model.score(fitted, test)))
 
 
+_CUT = """
+    d AS (SELECT session_date AS d, ROW_NUMBER() OVER (ORDER BY session_date) AS rn, COUNT(*) OVER () AS n
+      FROM (SELECT DISTINCT session_date FROM es WHERE session_date IS NOT NULL)),
+    cut AS (SELECT MIN(d) AS cutoff FROM d
+      WHERE rn = GREATEST(1, LEAST(n - 1, CAST(FLOOR(n * CAST(0.8 AS DOUBLE)) AS BIGINT))) + 1)
+"""
+
+
+@query(
+    "fitted_model_scores",
+    f"""
+    WITH {_CUT} SELECT session_date < cutoff AS in_train, session_date, COUNT(*) AS sessions,
+      CAST(SUM(purchase_in_session) AS BIGINT) AS positives, TRUE AS same_reloaded, TRUE AS same_by_weights
+    FROM es, cut GROUP BY ALL
+    """,
+    "es",
+)
+def fitted_model_scores(spark, sf_dir):
+    """Each session's score by the fitted model, the reloaded one, and its weights alone."""
+    fitted, _, train, test = _fitted(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    model.save_model(fitted, path)
+    loaded = model.load_model(path)
+    sessions = train.unionByName(test)
+
+    def by_session(m, name):
+        found = model.score(m, sessions, date_column="user_session")
+        return found.select(F.col("session_date").alias("user_session"), F.col("pred_prob").alias(name))
+
+    plain = sessions.withColumn("plain", model.logistic_score(*model.model_weights(loaded)))
+    both = by_session(fitted, "first").join(by_session(loaded, "again"), "user_session")
+    return (
+        plain.join(both, "user_session")
+        .groupBy("in_train", "session_date")
+        .agg(
+            F.count("*").alias("sessions"),
+            F.sum(LABEL).alias("positives"),
+            F.bool_and(F.col("first") == F.col("again")).alias("same_reloaded"),
+            F.bool_and(F.abs(F.col("plain") - F.col("again")) < 1e-9).alias("same_by_weights"),
+        )
+    )
+
+
+@query(
+    "fitted_model_checks",
+    f"""
+    WITH {_CUT} SELECT COUNT(*) AS test_sessions, CAST(SUM(purchase_in_session) AS BIGINT) AS test_positives,
+      TRUE AS mean_score_is_rate, TRUE AS drivers_in_order
+    FROM es, cut WHERE session_date >= cutoff
+    """,
+    "es",
+)
+def fitted_model_checks(spark, sf_dir):
+    """Confusion counts of the test set; the mean score that a free intercept implies; drivers by rank."""
+    fitted, kept, train, test = _fitted(spark, sf_dir)
+    off = F.abs(F.avg("pred_prob") - F.avg("label"))
+    mean = model.score(fitted, train).agg((off < 1e-4).alias("met")).scalar()
+    above = F.lag(F.abs("weight")).over(Window.partitionBy("direction").orderBy("rank"))
+    sign = F.when(F.col("direction") == "positive", F.col("weight")).otherwise(-F.col("weight"))
+    ranked = model.coefficient_drivers(fitted, train).select(
+        ((F.abs("weight") <= F.coalesce(above, F.abs("weight"))) & (sign >= 0)).alias("fits")
+    )
+    record = evaluation_record(model.score(fitted, test), train, test, kept).select("confusion_matrix.*")
+    return record.select(
+        (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("test_sessions"),
+        (F.col("fn") + F.col("tp")).alias("test_positives"),
+        mean.alias("mean_score_is_rate"),
+        ranked.agg(F.bool_and("fits").alias("met")).scalar().alias("drivers_in_order"),
+    )
+
+
 @query(
     "degraded_outputs",
     f"""
     WITH w AS ({_corr_rows()}), top AS (
-      SELECT feature, weight, ROW_NUMBER() OVER (ORDER BY weight DESC, feature) AS rn FROM w
+      SELECT feature, weight, ROW_NUMBER() OVER (ORDER BY weight DESC, feature) AS rn,
+        ROW_NUMBER() OVER (ORDER BY weight, feature) AS low FROM w
     )
-    SELECT 'driver' AS output, feature AS name, ROUND(weight, 6) AS value FROM top WHERE rn <= 8
+    SELECT 'driver_positive' AS output, feature AS name, ROUND(weight, 6) AS value FROM top WHERE rn <= 8
+    UNION ALL SELECT 'driver_negative', feature, ROUND(weight, 6) FROM top WHERE low <= 8
     UNION ALL SELECT 'table', t.name, 0.0 FROM (VALUES ('propensity_daily'), ('propensity_hist'),
       ('propensity_threshold'), ('calibration_bins'), ('threshold_curves')) t(name)
     """,
@@ -198,8 +272,9 @@ def degraded_outputs(spark, sf_dir):
     sessions = v.behaviour_sessions(spark, sf_dir)
     fitted = model.load_model(f"{sf_dir}/no-such-model")
     report = propensity_tables(spark, sessions, fitted, 0.5)
-    drivers = model.correlation_drivers(sessions, _KEPT).filter("direction = 'positive'")
-    out = drivers.select(F.lit("driver").alias("output"), F.col("feature").alias("name"), F.col("weight").alias("value"))
+    side = F.concat(F.lit("driver_"), F.col("direction")).alias("output")
+    drivers = model.correlation_drivers(sessions, _KEPT)
+    out = drivers.select(side, F.col("feature").alias("name"), F.col("weight").alias("value"))
     for name, table in report.tables.items():
         rows = table.agg(F.count("*").cast("double").alias("value"))
         out = out.unionByName(rows.select(F.lit("table").alias("output"), F.lit(name).alias("name"), "value"))

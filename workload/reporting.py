@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shopflow.operators import report, rollups, scores
 from shopflow.operators.events import purchases
-from shopflow.operators.histogram import exact_edges, session_distributions
+from shopflow.operators.histogram import approx_edges, exact_edges, session_distributions
 from shopflow.operators.sessions import conversion_by_weekday
 from shopflow.sources.scratch import stored
 from workload import views as v
@@ -66,23 +66,23 @@ def _session_days(df, start=v.START, end=v.END):
 
 
 def _funnel(spark, sf_dir):
-    return _event_days(rollups.funnel_daily(v.shop_events(spark, sf_dir)))
+    return rollups.funnel_daily(v.shop_events(spark, sf_dir))
 
 
 def _hourly(spark, sf_dir):
-    return _event_days(rollups.purchases_by_hour(v.shop_purchases(spark, sf_dir)))
+    return rollups.purchases_by_hour(v.shop_purchases(spark, sf_dir))
 
 
 def _categories(spark, sf_dir):
-    return _event_days(rollups.category_daily(v.shop_purchases(spark, sf_dir)))
+    return rollups.category_daily(v.shop_purchases(spark, sf_dir))
 
 
 def _brands(spark, sf_dir):
-    return _event_days(rollups.brand_daily(v.shop_purchases(spark, sf_dir)))
+    return rollups.brand_daily(v.shop_purchases(spark, sf_dir))
 
 
 def _weekdays(spark, sf_dir):
-    return _session_days(conversion_by_weekday(v.behaviour_sessions(spark, sf_dir)))
+    return conversion_by_weekday(v.behaviour_sessions(spark, sf_dir))
 
 
 _BOUNDS = """
@@ -132,7 +132,7 @@ def category_options(spark, sf_dir):
 
 @query(
     "category_filter",
-    f"SELECT * FROM categories WHERE {_EVENT_DAYS} AND category IN ({_CHOSEN})",
+    f"SELECT * FROM categories WHERE category IN ({_CHOSEN})",
     "categories",
 )
 def category_filter(spark, sf_dir):
@@ -154,7 +154,7 @@ def price_bounds(spark, sf_dir):
     return report.price_bounds([t.categories, t.brands, t.hourly])
 
 
-@query("price_filter", f"SELECT * FROM brands WHERE {_EVENT_DAYS} AND {_PRICED}", "brands")
+@query("price_filter", f"SELECT * FROM brands WHERE {_PRICED}", "brands")
 def price_filter(spark, sf_dir):
     return report.filter_prices(_brands(spark, sf_dir), *PRICES)
 
@@ -192,8 +192,8 @@ def report_totals_filtered(spark, sf_dir):
 
 @query(
     "peak_hour",
-    f"""
-    SELECT hour, CAST(SUM(purchase_count) AS BIGINT) AS purchase_count FROM hourly WHERE {_EVENT_DAYS}
+    """
+    SELECT hour, CAST(SUM(purchase_count) AS BIGINT) AS purchase_count FROM hourly
     GROUP BY hour ORDER BY 2 DESC, hour LIMIT 1
     """,
     "hourly",
@@ -204,8 +204,8 @@ def peak_hour(spark, sf_dir):
 
 @query(
     "top_category",
-    f"""
-    SELECT category, SUM(revenue) AS revenue FROM categories WHERE {_EVENT_DAYS}
+    """
+    SELECT category, SUM(revenue) AS revenue FROM categories
     GROUP BY category ORDER BY 2 DESC, category LIMIT 1
     """,
     "categories",
@@ -222,7 +222,7 @@ _DAY_NAME = """CASE day_of_week WHEN 1 THEN 'Sun' WHEN 2 THEN 'Mon' WHEN 3 THEN
     "best_weekday",
     f"""
     SELECT day_of_week, {_DAY_NAME} AS weekday, SUM(purchases) / SUM(sessions) AS rate FROM weekdays
-    WHERE {_SESSION_DAYS} GROUP BY day_of_week ORDER BY 3 DESC, 1 LIMIT 1
+    GROUP BY day_of_week ORDER BY 3 DESC, 1 LIMIT 1
     """,
     "weekdays",
 )
@@ -252,9 +252,9 @@ def top_brands(spark, sf_dir):
 
 @query(
     "hourly_totals",
-    f"""
+    """
     SELECT hour, CAST(SUM(purchase_count) AS BIGINT) AS purchase_count, SUM(revenue) AS revenue FROM hourly
-    WHERE {_EVENT_DAYS} GROUP BY hour
+    GROUP BY hour
     """,
     "hourly",
 )
@@ -267,7 +267,7 @@ def hourly_totals(spark, sf_dir):
     f"""
     SELECT day_of_week, CAST(SUM(sessions) AS BIGINT) AS sessions, CAST(SUM(purchases) AS BIGINT) AS purchases,
       SUM(purchases) / SUM(sessions) AS conversion_rate, {_DAY_NAME} AS weekday
-    FROM weekdays WHERE {_SESSION_DAYS} GROUP BY day_of_week
+    FROM weekdays GROUP BY day_of_week
     """,
     "weekdays",
 )
@@ -285,6 +285,24 @@ def metric_options(spark, sf_dir):
     return report.metric_options(_distributions(spark, sf_dir))
 
 
+@query("session_histogram_20_bins", "SELECT * FROM fine_dist", "fine_dist")
+def session_histogram_20_bins(spark, sf_dir):
+    sessions = stored(v.behaviour_sessions(spark, sf_dir), "sessions")
+    return session_distributions(sessions, exact_edges(sessions, bins=20))
+
+
+@query(
+    "approx_histogram_totals",
+    "SELECT metric, session_date, COUNT(*) AS sessions FROM ed_values GROUP BY metric, session_date",
+    "ed_values",
+)
+def approx_histogram_totals(spark, sf_dir):
+    """Every session lies in a bin, wherever the approximate edges are."""
+    sessions = stored(v.behaviour_sessions(spark, sf_dir), "sessions")
+    counts = session_distributions(sessions, approx_edges(sessions))
+    return counts.groupBy("metric", "session_date").agg(F.sum("count").alias("sessions"))
+
+
 @query(
     "distribution_range",
     f"""
@@ -301,9 +319,9 @@ def distribution_range(spark, sf_dir):
 
 @query(
     "funnel_totals",
-    f"""
+    """
     WITH t AS (SELECT CAST(SUM(views) AS BIGINT) AS v, CAST(SUM(carts) AS BIGINT) AS c,
-      CAST(SUM(purchases) AS BIGINT) AS p FROM funnel WHERE {_EVENT_DAYS})
+      CAST(SUM(purchases) AS BIGINT) AS p FROM funnel)
     SELECT 'View' AS stage, v AS count, v / v AS share_of_first FROM t
     UNION ALL SELECT 'Cart', c, c / v FROM t UNION ALL SELECT 'Purchase', p, p / v FROM t
     """,
@@ -315,10 +333,10 @@ def funnel_totals(spark, sf_dir):
 
 @query(
     "daily_activity_long",
-    f"""
-    SELECT event_date, 'views' AS series, views AS value FROM funnel WHERE {_EVENT_DAYS}
-    UNION ALL SELECT event_date, 'carts', carts FROM funnel WHERE {_EVENT_DAYS}
-    UNION ALL SELECT event_date, 'purchases', purchases FROM funnel WHERE {_EVENT_DAYS}
+    """
+    SELECT event_date, 'views' AS series, views AS value FROM funnel
+    UNION ALL SELECT event_date, 'carts', carts FROM funnel
+    UNION ALL SELECT event_date, 'purchases', purchases FROM funnel
     """,
     "funnel",
 )
@@ -367,32 +385,31 @@ def confusion_long(spark, sf_dir):
 
 @query(
     "insight_rows",
-    f"""
-    WITH f AS (SELECT SUM(views) AS views FROM funnel WHERE {_EVENT_DAYS}),
-    c AS (SELECT SUM(purchase_count) AS purchases, SUM(revenue) AS revenue FROM categories WHERE {_EVENT_DAYS}),
-    d AS (SELECT SUM(purchases) / SUM(sessions) AS rate FROM daily_scores
-      WHERE date BETWEEN DATE '{v.START}' AND DATE '{v.END}')
+    """
+    WITH f AS (SELECT SUM(views) AS views FROM funnel),
+    c AS (SELECT SUM(purchase_count) AS purchases, SUM(revenue) AS revenue FROM categories),
+    d AS (SELECT SUM(purchases) / SUM(sessions) AS rate FROM daily_scores)
     SELECT CAST(1 AS INTEGER) AS position, 'session_conversion_rate' AS insight, rate AS value, CAST(NULL AS VARCHAR) AS label FROM d
     UNION ALL SELECT 2, 'view_to_purchase_rate', purchases / views, NULL FROM c, f
     UNION ALL SELECT 3, 'revenue', revenue, NULL FROM c
     UNION ALL SELECT 4, 'top_category', revenue, category FROM (
-      SELECT category, SUM(revenue) AS revenue FROM categories WHERE {_EVENT_DAYS} GROUP BY category
+      SELECT category, SUM(revenue) AS revenue FROM categories GROUP BY category
       ORDER BY 2 DESC, 1 LIMIT 1)
     UNION ALL SELECT 5, 'peak_purchase_hour', CAST(n AS DOUBLE), lpad(CAST(hour AS VARCHAR), 2, '0') FROM (
-      SELECT hour, SUM(purchase_count) AS n FROM hourly WHERE {_EVENT_DAYS} GROUP BY hour ORDER BY 2 DESC, 1 LIMIT 1)
+      SELECT hour, SUM(purchase_count) AS n FROM hourly GROUP BY hour ORDER BY 2 DESC, 1 LIMIT 1)
     """,
     "funnel categories hourly daily_scores",
 )
 def insight_rows(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    funnel, hourly, categories = _event_days(t.funnel), _event_days(t.hourly), _event_days(t.categories)
+    funnel, hourly, categories = t.funnel, t.hourly, t.categories
     daily = scores.propensity_daily(scores.score_cube(v.scored(t.sessions)))
     return report.insight_rows(
         report.report_totals(funnel, hourly, categories),
         hourly,
         categories,
-        _session_days(t.weekdays),
-        scores.weighted_score(daily.filter(F.col("date").between(v.START, v.END))),
+        t.weekdays,
+        scores.weighted_score(daily),
     )
 
 

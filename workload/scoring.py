@@ -61,7 +61,7 @@ def _cube(spark, sf_dir):
     "scored curve_edges",
 )
 def cube(spark, sf_dir):
-    return _cube(spark, sf_dir)
+    return _cube(spark, sf_dir).drop("threshold")
 
 
 @query(
@@ -144,6 +144,21 @@ def threshold_point(spark, sf_dir):
     return scores.threshold_point(at)
 
 
+@query(
+    "threshold_point_other",
+    """
+    SELECT CAST(0.6 AS DOUBLE) AS threshold, ROUND(f / n, 6) AS pct_sessions_above,
+      CASE WHEN f = 0 THEN 0.0 ELSE ROUND(t / f, 6) END AS precision_at_threshold,
+      ROUND(t / p, 6) AS recall_at_threshold
+    FROM (SELECT COUNT(*) AS n, SUM(label) AS p, COUNT(*) FILTER (pred_prob >= 0.6) AS f,
+      COUNT(*) FILTER (pred_prob >= 0.6 AND label = 1) AS t FROM scored)
+    """,
+    "scored",
+)
+def threshold_point_other(spark, sf_dir):
+    return scores.threshold_point(scores.score_cube(v.example_scores(spark, sf_dir), threshold=0.6))
+
+
 @query("threshold_curve", "SELECT * FROM curve", "curve")
 def threshold_curve(spark, sf_dir):
     return scores.threshold_curve(_cube(spark, sf_dir))
@@ -268,23 +283,19 @@ def evaluation(spark, sf_dir):
     return record.select("*", "confusion_matrix.*").drop("confusion_matrix", "features_used")
 
 
-_REPORT_DAYS = f"date BETWEEN DATE '{v.START}' AND DATE '{v.END}'"
-
-
 @query(
     "weighted_score",
-    f"""
+    """
     SELECT ROUND(SUM(mean_pred_prob * sessions) / SUM(sessions), 7) AS predicted_conversion_rate,
       ROUND(SUM(purchases) / SUM(sessions), 7) AS actual_session_conversion_rate,
       ROUND(SUM(mean_pred_prob * sessions) / SUM(sessions) - SUM(purchases) / SUM(sessions), 7) AS calibration_gap
-    FROM daily_scores WHERE {_REPORT_DAYS}
+    FROM daily_scores
     """,
     "daily_scores",
 )
 def weighted_score(spark, sf_dir):
     cube = stored(_cube(spark, sf_dir), "score_cube")
-    daily = scores.propensity_daily(cube).filter(F.col("date").between(v.START, v.END))
-    row = scores.weighted_score(daily, scores.propensity_kpis(cube))
+    row = scores.weighted_score(scores.propensity_daily(cube), scores.propensity_kpis(cube))
     return row.select(*[F.round(c, 7).alias(c) for c in row.columns])
 
 
@@ -305,6 +316,43 @@ def threshold_lookup(spark, sf_dir):
     return scores.nearest_threshold(scores.threshold_curve(cube), target, scores.threshold_point(cube))
 
 
+@query(
+    "threshold_lookup_no_curve",
+    """
+    SELECT CAST(0.5 AS DOUBLE) AS threshold,
+      ROUND(COUNT(*) FILTER (pred_prob >= 0.5) / COUNT(*), 6) AS high_propensity_share,
+      CAST(NULL AS DOUBLE) AS precision, CAST(NULL AS DOUBLE) AS recall, CAST(NULL AS DOUBLE) AS f1
+    FROM scored
+    """,
+    "scored",
+)
+def threshold_lookup_no_curve(spark, sf_dir):
+    """The KPI record answers where no session was scored into a curve."""
+    cube = stored(_cube(spark, sf_dir), "score_cube")
+    curve = scores.threshold_curve(cube.filter("sessions < 0"), closing_row=False)
+    kpis = scores.propensity_kpis(cube)
+    return scores.nearest_threshold(curve, F.lit(0.1), scores.threshold_point(cube), kpis)
+
+
+@query(
+    "weighted_score_no_scores",
+    """
+    SELECT CAST(NULL AS DOUBLE) AS predicted_conversion_rate,
+      ROUND(SUM(label) / COUNT(*), 7) AS actual_session_conversion_rate, CAST(NULL AS DOUBLE) AS calibration_gap
+    FROM scored
+    """,
+    "scored",
+)
+def weighted_score_no_scores(spark, sf_dir):
+    """Without score data the actual rate comes from totals; the rest is unknown."""
+    cube = stored(_cube(spark, sf_dir), "score_cube")
+    totals = cube.agg(F.sum("positives").alias("purchases"), F.sum("sessions").alias("sessions"))
+    none = scores.propensity_daily(cube.filter("sessions < 0"))
+    absent = scores.propensity_kpis(cube).withColumn("available", F.lit(False))
+    row = scores.weighted_score(none, absent, totals)
+    return row.select(*[F.round(c, 7).alias(c) for c in row.columns])
+
+
 @query(
     "backfilled_daily_rates",
     """

@@ -55,7 +55,7 @@ _METRICS = (
 )
 
 
-def _histogram(prefix: str, sessions: str) -> dict[str, str]:
+def _histogram(prefix: str, sessions: str, bins: int = 10) -> dict[str, str]:
     """Views ``<prefix>_edges`` and ``<prefix>_dist``: exact quantile bins and counts."""
     values = " UNION ALL ".join(
         f"SELECT '{m}' AS metric, session_date, CAST({m} AS DOUBLE) AS value FROM {sessions} WHERE {m} IS NOT NULL"
@@ -69,7 +69,7 @@ SELECT metric, value, SUM(n) OVER (PARTITION BY metric ORDER BY value) AS c, SUM
 FROM (SELECT metric, value, COUNT(*) AS n FROM {p}_values GROUP BY metric, value)""",
         f"{p}_cuts": f"""
 SELECT metric, COUNT(DISTINCT q) AS n, MIN(q) AS lo, MAX(q) AS hi, list_sort(list(DISTINCT q)) AS e
-FROM (SELECT metric, i, MIN(value) AS q FROM {p}_running, range(0, 11) r(i) WHERE c * 10 >= t * i GROUP BY metric, i)
+FROM (SELECT metric, i, MIN(value) AS q FROM {p}_running, range(0, {bins + 1}) r(i) WHERE c * {bins} >= t * i GROUP BY metric, i)
 GROUP BY metric""",
         f"{p}_edges": f"""
 SELECT metric, CASE
@@ -78,7 +78,7 @@ SELECT metric, CASE
 FROM {p}_cuts""",
         f"{p}_bins": f"""
 SELECT metric, e[i] AS bin_start, e[i + 1] AS bin_end, i + 1 = len(e) AS last
-FROM {p}_edges, range(1, 12) r(i) WHERE i < len(e)""",
+FROM {p}_edges, range(1, {bins + 2}) r(i) WHERE i < len(e)""",
         f"{p}_dist": f"""
 SELECT v.metric, v.session_date, b.bin_start, b.bin_end, COUNT(*) AS count
 FROM {p}_values v JOIN {p}_bins b ON v.metric = b.metric AND v.value >= b.bin_start
@@ -172,6 +172,7 @@ FROM from_top
 UNION ALL SELECT 1.0, 0.0, 0.0, 0.0, 0.0""",
     **_histogram("ed", "es"),
     **_histogram("ld", "ls"),
+    **_histogram("fine", "es", 20),
 }
 
 
