@@ -13,18 +13,21 @@ is compared in tiles of bounded size. The number of runs follows from the recall
 for at the threshold; pairs above it are found with a higher probability.
 
 In a bucket the embedded sets are compared; those estimated at ``MARGIN`` below the threshold or
-more are linked, and only a spanning forest of these links leaves the task. Of a bucket in
-several tiles, those of two blocks return only what joins the forests of each. Its components are
-groups of sets with all near duplicates of each other.
+more are linked, and only a spanning forest of these links leaves the task. Two sets that earlier
+links already connect need no comparison, so a crowd of near copies costs little more than
+reading it. Of a bucket in several tiles, those of two blocks return only what joins the forests
+of each. Its components are groups of sets with all near duplicates of each other.
 
 Exact check. The shingles of the sets of a group are computed once more from the texts and all
-pairs of a group are compared in tiles, which count links, and again return a spanning forest.
-No step lists all pairs. The components of the exact links are the classes.
+pairs of a group are compared in tiles, which count links, and again return a spanning forest;
+where only classes are asked for, connected sets are passed over here too. No step lists all
+pairs. The components of the exact links are the classes.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import regex
@@ -41,6 +44,7 @@ SAMPLED = 0.625
 SMALL = 512
 DEPTH = 3
 TILE = 256
+BLOCK = 1024
 MARGIN = 0.17
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
@@ -134,13 +138,38 @@ def forest(links: list[tuple[int, int]], n: int) -> np.ndarray:
     return np.array([find(a) for a in range(n)])
 
 
-def tiled(members: DataFrame, sizes: DataFrame, group: str, item: str) -> DataFrame:
+def connected(own: np.ndarray, near: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest, as (index, smallest index of its component), of the sets of a tile.
+
+    ``own``: the block of each; ``near``: whether each set after this one is near to it. Of two
+    blocks, each has a tile of its own, so only what joins their components is returned.
+    """
+    n = len(own)
+    part = np.arange(n)
+    alone = own.min() == own.max()
+
+    def join(across: bool) -> None:
+        for k in range(n - 1):
+            other = (part[k + 1 :] != part[k]) & ((own[k + 1 :] != own[k]) == across)
+            if other.any():
+                for p in np.unique(part[k + 1 :][other & near(k)]).tolist():
+                    part[part == max(p, part[k])] = min(p, part[k])
+
+    join(across=False)
+    ends = np.arange(n)
+    if not alone:
+        ends = np.flatnonzero(part == ends)
+        join(across=True)
+    return [(k, r) for k, r in zip(ends.tolist(), part[ends].tolist(), strict=True) if k != r]
+
+
+def tiled(members: DataFrame, sizes: DataFrame, group: str, item: str, rows: int) -> DataFrame:
     """Each row of a group beside each pair of the group's blocks that has it: columns i <= j and
-    own, the block of the row. A block has about ``TILE`` rows; a small group is one block.
+    own, the block of the row. A block has about ``rows`` rows; a small group is one block.
 
     ``sizes``: ``group`` and ``count``.
     """
-    blocks = F.when(F.col("count") > 2 * TILE, F.ceil(F.col("count") / TILE)).otherwise(1)
+    blocks = F.when(F.col("count") > 2 * rows, F.ceil(F.col("count") / rows)).otherwise(1)
     partners = F.sequence(F.lit(0), F.col("blocks") - 1)
     return (
         members.join(sizes, group)
@@ -235,7 +264,7 @@ def candidate_links(sets: DataFrame, runs: int, threshold: float) -> DataFrame:
         F.bit_xor(F.xxhash64(F.lit(1), "digest")).alias("xor"),
     )
     sizes = named.groupBy("count", "sum", "xor").agg(F.min("node").alias("node"))
-    tiles = tiled(members, sizes.select("node", "count"), "node", "digest")
+    tiles = tiled(members, sizes.select("node", "count"), "node", "digest", BLOCK)
     tiles = tiles.join(sets.select("digest", "tokens"), "digest")
     least = math.ceil((threshold - MARGIN) * TOKENS)
 
@@ -243,41 +272,42 @@ def candidate_links(sets: DataFrame, runs: int, threshold: float) -> DataFrame:
         ids, own, tokens = zip(*rows, strict=True)
         embedding = np.frombuffer(b"".join(tokens), np.uint32).reshape(-1, TOKENS)
         own = np.array(own)
-        within, across = [], []
-        for k in range(len(ids) - 1):
-            same = np.flatnonzero((embedding[k + 1 :] == embedding[k]).sum(axis=1) >= least)
-            for m in (same + k + 1).tolist():
-                (within if own[m] == own[k] else across).append((k, m))
-        if key[1] == key[2]:
-            return [(ids[k], ids[r]) for k, r in enumerate(forest(within, len(ids))) if r != k]
-        # The tile of each block alone links its own sets; here only what joins these is new.
-        parts = forest(within, len(ids))
-        joined = forest([(parts[a], parts[b]) for a, b in across], len(ids))
-        return [(ids[k], ids[r]) for k, r in enumerate(joined) if r != k]
+
+        def near(k: int) -> np.ndarray:
+            return (embedding[k + 1 :] == embedding[k]).sum(axis=1) >= least
+
+        return [(ids[k], ids[r]) for k, r in connected(own, near)]
 
     made = {"a": "binary", "b": "binary"}
     return map_groups(tiles, ["node", "i", "j"], ["digest", "own", "tokens"], made, compare)
 
 
-def shared_counts(tokens: list[np.ndarray]):
-    """For each of the sets, how many tokens it shares with each that follows."""
-    flat = np.concatenate(tokens)
-    names, code = np.unique(flat, return_inverse=True)
-    ends = np.cumsum([len(t) for t in tokens])
-    mark = np.zeros(len(names), bool)
-    for k in range(len(tokens) - 1):
-        own = code[ends[k] - len(tokens[k]) : ends[k]]
-        mark[own] = True
-        yield k, np.add.reduceat(mark[code[ends[k] :]], ends[k:-1] - ends[k], dtype=np.int64)
-        mark[own] = False
+class SharedCounts:
+    """For a set of a list, how many tokens it shares with each that follows."""
+
+    def __init__(self, tokens: list[np.ndarray]) -> None:
+        names, self.code = np.unique(np.concatenate(tokens), return_inverse=True)
+        self.mark = np.zeros(len(names), bool)
+        self.starts = np.cumsum([0, *map(len, tokens)])
+
+    def __call__(self, k: int) -> np.ndarray:
+        start, end = self.starts[k : k + 2]
+        own = self.code[start:end]
+        self.mark[own] = True
+        shared = np.add.reduceat(self.mark[self.code[end:]], self.starts[k + 1 : -1] - end, dtype=np.int64)
+        self.mark[own] = False
+        return shared
 
 
-def exact_links(docs: DataFrame, groups: DataFrame, n: int, threshold: float) -> DataFrame:
+def exact_links(
+    docs: DataFrame, groups: DataFrame, n: int, threshold: float, count: bool = True
+) -> DataFrame:
     """Links inside the groups: a row for each set and tile with any.
 
     ``groups``: digest of a set, doc_id of a row with it, weight, root of its group. Returns
     digest, root (the first set connected with it in the tile), links (rows of the linked
-    sets) and linked_sets.
+    sets) and linked_sets. Without ``count`` these two are 0, and rows only those of a spanning
+    forest.
     """
     texts_of = docs.select("doc_id", "text").join(groups, "doc_id")
 
@@ -303,13 +333,20 @@ def exact_links(docs: DataFrame, groups: DataFrame, n: int, threshold: float) ->
         ids, own, weights, data = zip(*rows, strict=True)
         tokens = [np.frombuffer(s, np.uint64) for s in data]
         own, weight, size = np.array(own), np.array(weights), np.array([len(t) for t in tokens])
+        shares = SharedCounts(tokens)
+
+        def near(k: int) -> np.ndarray:
+            shared = shares(k)
+            return shared >= threshold * (size[k] + size[k + 1 :] - shared) - 1e-9
+
+        if not count:
+            return [(ids[k], ids[r], 0, 0) for k, r in connected(own, near)]
         links, counts, total = [], np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        for k, shared in shared_counts(tokens):
-            after = slice(k + 1, None)
-            near = shared >= threshold * (size[k] + size[after] - shared) - 1e-9
+        for k in range(len(ids) - 1):
+            close = near(k)
             if key[1] != key[2]:
-                near &= own[after] != own[k]
-            found = np.flatnonzero(near) + k + 1
+                close &= own[k + 1 :] != own[k]
+            found = np.flatnonzero(close) + k + 1
             links += [(k, m) for m in found.tolist()]
             counts[k] += len(found)
             counts[found] += 1
@@ -320,14 +357,14 @@ def exact_links(docs: DataFrame, groups: DataFrame, n: int, threshold: float) ->
         return [(ids[k], ids[root[k]], int(total[k]), int(counts[k])) for k in some]
 
     sizes = members.groupBy("root").count().where("count > 1")
-    tiles = tiled(members, sizes, "root", "digest")
+    tiles = tiled(members, sizes, "root", "digest", TILE)
     made = {"digest": "binary", "root": "binary", "links": "long", "linked_sets": "long"}
     values = ["digest", "own", "weight", "shingles"]
     return map_groups(tiles, ["root", "i", "j"], values, made, compare)
 
 
 def similar_documents(
-    docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, count: bool = True
 ) -> DataFrame:
     """Class and number of links of each row of ``docs``.
 
@@ -337,7 +374,8 @@ def similar_documents(
     linked_texts (linked sets other than its own). Rows with a blank text, or with a null id, are
     linked with none; these are a class of their own, null for a null id. Rows that repeat an id
     are rows like others. ``recall`` is the probability, for each pair at the threshold, that
-    some bucket holds it; links found through others of the group come on top.
+    some bucket holds it; links found through others of the group come on top. Without ``count``
+    only doc_id and class_id are returned, for less work on crowds of near copies.
     """
     rows = stored(distinct_sets(docs, n), "sets")
     known = rows.where("doc_id is not null and digest is not null")
@@ -350,7 +388,7 @@ def similar_documents(
     found = candidate_links(sets, runs_for(recall, threshold), threshold)
     groups = components(found).withColumnRenamed("node", "digest")
     wanted = sets.select("digest", "doc_id", "weight").join(groups, "digest")
-    links = stored(exact_links(docs, wanted, n, threshold), "links")
+    links = stored(exact_links(docs, wanted, n, threshold, count), "links")
     classes = components(links.select(F.col("digest").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("digest").agg(
         F.sum("links").alias("links"), F.sum("linked_sets").alias("linked_texts")
@@ -358,13 +396,13 @@ def similar_documents(
     of_set = (
         sets.select("digest", "doc_id", "weight")
         .join(classes.withColumnRenamed("node", "digest"), "digest")
-        .join(counts, "digest")
+        .join(counts, "digest", "left")
     )
     first = of_set.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     of_set = of_set.join(first, "root").select("digest", "class_id", "links", "linked_texts")
     alone = F.when(F.col("doc_id").isNotNull(), F.col("digest"))
     copies = sets.select("digest", F.col("doc_id").alias("first_id"), "weight")
-    return (
+    labelled = (
         rows.select("doc_id", alone.alias("digest"))
         .join(copies, "digest", "left")
         .join(of_set, "digest", "left")
@@ -375,6 +413,7 @@ def similar_documents(
             F.coalesce("linked_texts", F.lit(0)).alias("linked_texts"),
         )
     )
+    return labelled if count else labelled.select("doc_id", "class_id")
 
 
 def without_near_copies(
@@ -385,7 +424,7 @@ def without_near_copies(
     Of rows with the same id and text one stays; rows with a null id or a blank text stay. An id
     that has rows with several texts goes only if all of these are near copies of others.
     """
-    classes = similar_documents(docs, n, threshold, recall).where("doc_id is not null")
+    classes = similar_documents(docs, n, threshold, recall, count=False).where("doc_id is not null")
     gone = classes.groupBy("doc_id").agg(F.max("class_id").alias("high"))
     gone = gone.where("high < doc_id").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti")

@@ -59,6 +59,7 @@ def expected_classes(rows):
 def test_classes_and_links_are_those_of_brute_force(make_docs, monkeypatch, small, tile):
     monkeypatch.setattr(chosen_path, "SMALL", small)
     monkeypatch.setattr(chosen_path, "TILE", tile)
+    monkeypatch.setattr(chosen_path, "BLOCK", tile)
     rows = [*enumerate(families()), (None, "one two"), (0, "an id with another text than before it")]
     got = chosen_path.similar_documents(make_docs(rows)).collect()
     assert sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in got) == expected_classes(rows)
