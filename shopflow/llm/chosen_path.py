@@ -8,9 +8,11 @@ the share that is their similarity. In each run, at each node of a tree, a set g
 those of its tokens that the node's hash samples: on average ``1 / SAMPLED`` of them, so two
 similar sets keep at least one path in common with a known probability. A node with up to
 ``SMALL`` sets is a bucket to be compared by brute force; a larger one is split again, up to
-``DEPTH`` times. What is still large then is made of sets that stay together on every path; it
-is compared in tiles of bounded size. The number of runs follows from the recall that is asked
-for at the threshold; pairs above it are found with a higher probability.
+``DEPTH`` times, unless it holds more than half of the node it came from: such a crowd of like
+sets stays together on every path, and splitting would only multiply it. A large bucket is
+compared in tiles of bounded size. The number of runs follows from the recall that is asked
+for at the threshold, with all ``DEPTH`` splits; pairs above it, or in crowds, are found with a
+higher probability.
 
 In a bucket the embedded sets are compared; those estimated at ``MARGIN`` below the threshold or
 more are linked, and only a spanning forest of these links leaves the task. Two sets that earlier
@@ -41,7 +43,7 @@ from shopflow.sources.scratch import stored
 
 TOKENS = 128
 SAMPLED = 0.625
-SMALL = 512
+SMALL = 1024
 DEPTH = 3
 TILE = 256
 BLOCK = 1024
@@ -232,20 +234,24 @@ def buckets(sets: DataFrame, runs: int) -> DataFrame:
 
     light = sets.select("digest", "tokens")
     level = stored(map_batches(light, ["digest"], {"node": "long"}, start), "paths")
+    level = level.withColumn("held", F.lit(None).cast("long"))  # sets of the node above
     leaves = []
     for depth in range(DEPTH + 1):
-        sizes = level.groupBy("node").count().where("count > 1")
+        sizes = level.groupBy("node").agg(F.count("*").alias("count"), F.min("held").alias("held"))
+        sizes = sizes.where("count > 1")
         last = depth == DEPTH
-        ready = sizes if last else sizes.where(F.col("count") <= SMALL)
+        crowd = F.coalesce(2 * F.col("count") > F.col("held"), F.lit(False))
+        whole = F.lit(last) | (F.col("count") <= SMALL) | crowd
+        ready = sizes.where(whole)
         leaves.append(level.join(ready.select("node"), "node"))
         if last:
             break
-        large = stored(level.join(sizes.where(F.col("count") > SMALL).select("node"), "node"), "large")
+        split = sizes.where(~whole).select("node", F.col("count").alias("held"))
+        large = stored(level.drop("held").join(split, "node"), "large")
         if large.limit(1).count() == 0:
             break
-        again = light.join(large, "digest").select("digest", "tokens", "node")
-        level = again.withColumnRenamed("node", "above").select("digest", "tokens", "above")
-        level = stored(map_batches(level, ["digest"], {"node": "long"}, start_next), "paths")
+        again = light.join(large, "digest").select("digest", "tokens", F.col("node").alias("above"), "held")
+        level = stored(map_batches(again, ["digest", "held"], {"node": "long"}, start_next), "paths")
     out = leaves[0]
     for leaf in leaves[1:]:
         out = out.unionByName(leaf)
