@@ -3,7 +3,7 @@ from __future__ import annotations
 from bisect import bisect_right
 
 import pytest
-from conftest import rows
+from shop_checks import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -4,7 +4,7 @@ import json
 from pathlib import Path
 
 import pytest
-from conftest import rows
+from shop_checks import rows
 from pyspark.errors import AnalysisException
 
 from shopflow.operators.events import clean_events, ingest_summary

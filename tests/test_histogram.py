@@ -4,7 +4,7 @@ import pytest
 
 import datetime as dt
 
-from conftest import plan_of, rows
+from shop_checks import plan_of, rows
 from pyspark.sql import functions as F
 
 from shopflow.operators import histogram as hi

@@ -4,7 +4,7 @@ import datetime as dt
 import math
 
 import pytest
-from conftest import rows
+from shop_checks import rows
 from pyspark.sql import functions as F
 
 from shopflow.functions import selection as sel

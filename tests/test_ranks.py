@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import math
 
-from conftest import plan_of
+from shop_checks import plan_of
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

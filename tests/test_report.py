@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from conftest import plan_of, rows
+from shop_checks import plan_of, rows
 
 from shopflow.operators import report as re
 from shopflow.schema import TABLES, empty_table
