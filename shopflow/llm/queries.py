@@ -14,7 +14,9 @@ from shopflow.llm import (
     language,
     nearest,
     packing,
+    phrases,
     quality,
+    sql,
     token_counts,
     toxicity,
 )
@@ -84,6 +86,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_suffix_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
 def held_out(folds: int, fold: int):
     """Whether a row is in the fold that isn't learnt from; false for a null id."""
     return F.coalesce(fold_of(F.col("doc_id"), folds) == fold, F.lit(False)).alias("held_out")
@@ -108,6 +114,7 @@ QUERIES = {
         op8_chosen_path,
         op9_quality,
         op10_packing,
+        op11_suffix_phrases,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_suffix_phrases": sql.PHRASES}
