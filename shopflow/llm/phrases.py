@@ -2,17 +2,17 @@
 
 The words of a piece of text are a string, and a phrase's count is the number of suffixes that
 begin with it. Suffixes are cut to five words and to what may still belong to a frequent phrase,
-and dealt out by their first words: a prefix that has more rows than a group may hold is
-extended by a word until each part fits (vertical partitioning), and parts share groups up to
-the memory budget. Each group sorts its suffixes and builds its truncated subtree on its own,
-from left to right; a node's count is the total of the leaves below it. The counts of prefixes
-that were extended come from the partitioning itself.
+and dealt out by their first words to as many groups as the memory budget asks for. A prefix that
+would fill a group by itself is extended (vertical partitioning): a hot word by its next word, a
+hot pair by all words. Each group sorts its suffixes and builds its truncated subtree on its own,
+from left to right; a node's count is the total of the leaves below it. Nodes above an extended
+prefix have leaves in several groups, and their totals are added.
 
 Words are 64-bit codes, hashes of language and word. Two words with one hash are found in the
 table of all words, and all but one of them get a code that no hash has, so counts are exact.
-Two filters keep suffixes short: bits of frequent words, and bits of pairs of neighbours whose
-buckets of pairs are frequent. Filters have a bounded size. They let too much through, never too
-little, and too much only costs time.
+Filters keep suffixes short: bits of frequent words, and of the buckets of pairs of neighbours
+that hold enough occurrences. Bits also tell what is hot. All have a bounded size. They let too
+much through, never too little, and too much only costs time.
 """
 
 from __future__ import annotations
@@ -42,9 +42,6 @@ KIND = np.zeros(256, np.uint8)
 KIND[list(b" \t")] = 1
 KIND[list(BREAKS)] = 2
 
-CODES = [f"c{d}" for d in range(1, WORDS + 1)]
-
-
 class Slice(NamedTuple):
     """The words of some texts: what differs, and for each occurrence which it is and its piece."""
 
@@ -150,7 +147,7 @@ def bits_of(rows: DataFrame, number: Column, size: int) -> Bits:
 def over_texts(docs: DataFrame, schema: str, make: Callable[[Slice], list | None]) -> DataFrame:
     """Rows that ``make`` gets from the words of each slice of the texts, as columns."""
     names = [f.split(" ")[0] for f in schema.split(", ")]
-    kinds = {"string": pa.string(), "long": pa.int64()}
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     types = [kinds[f.split(" ")[1]] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,8 +210,8 @@ class Reader:
         return codes, at, bucket_of(each[at], each[at + 1], size)
 
 
-def frequent_pairs(docs: DataFrame, reader: Reader, size: int, least: int) -> Bits:
-    """Buckets that hold ``least`` occurrences of pairs or more; each frequent pair is in one of them."""
+def pair_buckets(docs: DataFrame, reader: Reader, size: int, least: int) -> DataFrame:
+    """(bucket, f): buckets that hold ``least`` occurrences of pairs or more; each frequent pair is in one."""
     shared = docs.sparkSession.sparkContext.broadcast(reader)
 
     def make(s: Slice) -> list | None:
@@ -224,20 +221,48 @@ def frequent_pairs(docs: DataFrame, reader: Reader, size: int, least: int) -> Bi
         return list(np.unique(buckets, return_counts=True))
 
     counted = over_texts(docs, "bucket long, f long", make).groupBy("bucket").agg(F.sum("f").alias("f"))
-    return bits_of(counted.where(F.col("f") >= least), F.col("bucket"), size)
+    return stored(counted.where(F.col("f") >= least), "buckets")
+
+
+class Dealer(NamedTuple):
+    """What goes on after a word, and to which group a suffix goes."""
+
+    reader: Reader
+    pairs: Bits  # buckets of pairs that go on
+    hot_words: Bits
+    hot_pairs: Bits  # buckets
+    groups: int
 
+    def prefixes(self, codes: np.ndarray) -> np.ndarray:
+        """Words of the prefix that decides: one, two for a hot word, all for a hot pair."""
+        hot = self.hot_words.has(codes[:, 0] & (self.hot_words.size - 1))
+        pair = hot & self.hot_pairs.has(bucket_of(codes[:, 0].copy(), codes[:, 1].copy(), self.hot_pairs.size))
+        return np.where(pair, WORDS, np.where(hot, 2, 1))
 
-def suffixes(docs: DataFrame, reader: Reader, pairs: Bits) -> DataFrame:
-    """(lang, c1..c5, f): suffixes of two to five words, those after the end 0, with their counts in a slice."""
-    shared = docs.sparkSession.sparkContext.broadcast((reader, pairs))
+    def group(self, codes: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(codes), np.uint64)
+        for d in range(WORDS):
+            h += np.where(depth > d, codes[:, d], 0).view(np.uint64)
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return (h % np.uint64(self.groups)).astype(np.int64)
+
+
+def suffixes(docs: DataFrame, dealer: Dealer) -> DataFrame:
+    """Suffixes of two to five words, packed for each slice, group and language.
+
+    (bin, lang, codes, counts, depths): five codes for each suffix, 0 after its end; how often it is
+    in the slice; the words of its prefix.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(dealer)
 
     def make(s: Slice) -> list | None:
         if not s.words:
             return None
-        reader, pairs = shared.value
-        codes, at, buckets = reader.pairs(s, pairs.size)
+        dealer = shared.value
+        codes, at, buckets = dealer.reader.pairs(s, dealer.pairs.size)
         goes_on = np.zeros(len(s.which) + WORDS, bool)  # from a word to the next
-        goes_on[at[pairs.has(buckets)]] = True
+        goes_on[at[dealer.pairs.has(buckets)]] = True
         at = np.flatnonzero(goes_on)
         if not len(at):
             return None
@@ -251,108 +276,101 @@ def suffixes(docs: DataFrame, reader: Reader, pairs: Bits) -> DataFrame:
         for c in columns[1:]:
             _, row = np.unique(row * base + c, return_inverse=True)
         _, chosen, counts = np.unique(row, return_index=True, return_counts=True)
-        langs = [s.langs[k - 1] for k in columns[0][chosen].tolist()]
-        return [langs, *(codes[c[chosen]] for c in columns), counts]
-
-    return over_texts(docs, "lang string, " + ", ".join(f"{c} long" for c in CODES) + ", f long", make)
-
-
-def grouped(rows: DataFrame, groups: int, largest: int) -> tuple[DataFrame, list[DataFrame]]:
-    """``rows`` with ``depth``, the words of its prefix, dealt to groups by prefix; counts of extended prefixes.
-
-    A prefix of more than ``largest`` rows is extended by a word; there are at most rows /
-    largest of these at each depth.
-    """
-    sizes = stored(rows.groupBy("lang", *CODES[:-1]).agg(F.count("*").alias("n"), F.sum("f").alias("f")), "sizes")
-    extended = []
-    dealt, depth = rows, F.lit(1)
-    parts = [F.col(CODES[0])]
-    for d in range(1, WORDS):
-        keys = CODES[:d]
-        large = sizes.groupBy("lang", *keys).agg(F.sum("n").alias("n"), F.sum("f").alias("f"))
-        large = stored(large.where(F.col("n") > largest).drop("n"), "extended")
-        if large.isEmpty():
-            break
-        extended.append(large)
-        hit = f"hit{d}"
-        dealt = dealt.join(large.select(*keys, F.lit(1).alias(hit)), keys, "left")
-        depth = depth + F.coalesce(F.col(hit), F.lit(0))
-        parts.append(F.when(F.col(hit).isNotNull(), F.col(CODES[d])))
-    dealt = dealt.select("lang", *CODES, "f", depth.alias("depth"), *[p.alias(f"p{i}") for i, p in enumerate(parts)])
-    dealt = dealt.repartition(groups, *[f"p{i}" for i in range(len(parts))])
-    return dealt.select("lang", *CODES, "f", "depth").sortWithinPartitions(*CODES), extended
-
-
-def subtrees(dealt: DataFrame, least: int) -> DataFrame:
-    """(lang, codes, a): the nodes of each group's tree with a count of ``least`` or more.
-
-    Rows come sorted, so a node is a run of rows with one prefix; runs that reach over the end
-    of a batch stay open, one for each depth. Nodes above a group's prefixes are left out.
+        found = np.stack([codes[c[chosen]] for c in columns], axis=1)
+        names = sorted(set(s.langs))
+        number = {x: i for i, x in enumerate(names)}
+        lang = np.array([number[x] for x in s.langs])[columns[0][chosen] - 1]
+        depths = dealer.prefixes(found)
+        key = dealer.group(found, depths) * len(names) + lang
+        order = np.argsort(key, kind="stable")
+        ends = [*np.flatnonzero(np.diff(key[order])) + 1, len(order)]
+        parts = [order[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return [
+            [int(key[p[0]]) // len(names) for p in parts],
+            [names[int(lang[p[0]])] for p in parts],
+            [found[p].tobytes() for p in parts],
+            [counts[p].tobytes() for p in parts],
+            [depths[p].astype(np.int8).tobytes() for p in parts],
+        ]
+
+    return over_texts(docs, "bin long, lang string, codes binary, counts binary, depths binary", make)
+
+
+def subtree(codes: np.ndarray, counts: np.ndarray, depths: np.ndarray, least: int) -> Iterator[tuple[list[int], int, bool]]:
+    """Nodes (codes, count, whole) of the tree of a group's suffixes, cut to five words.
+
+    Sorted suffixes are its leaves from left to right; a node is a run of leaves with a common
+    beginning, and counts their total. Whole nodes below ``least`` are left out. Nodes above the
+    group's prefixes have leaves in other groups as well: they are not whole, and never left out.
     """
+    order = np.lexsort(codes.T[::-1])
+    codes, counts, depths = codes[order], counts[order], depths[order]
+    new = np.zeros(len(codes), bool)
+    new[0] = True
+    for d in range(1, WORDS + 1):
+        new[1:] |= codes[1:, d - 1] != codes[:-1, d - 1]
+        if d == 1:
+            continue  # single words are counted already
+        starts = np.flatnonzero(new)
+        totals = np.add.reduceat(counts, starts)
+        whole = depths[starts] <= d
+        for k in np.flatnonzero((codes[starts, d - 1] != 0) & (~whole | (totals >= least))).tolist():
+            yield codes[starts[k], :d].tolist(), int(totals[k]), bool(whole[k])
+
+
+def subtrees(packed: DataFrame, groups: int, least: int) -> DataFrame:
+    """(lang, codes, a): phrases that occur ``least`` times or more, from each group's tree."""
+    kinds = pa.schema([("lang", pa.string()), ("codes", pa.list_(pa.int64())), ("a", pa.int64()), ("whole", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.schema([("lang", pa.string()), ("codes", pa.list_(pa.int64())), ("a", pa.int64())])
-        still: dict[int, tuple] = {}  # by depth: lang, prefix, count so far, whether it is whole
-
-        def packed(nodes: list[tuple]) -> pa.RecordBatch:
-            nodes = [x for x in nodes if x[2] >= least and x[3] and x[1][-1]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in nodes], names.field(i).type) for i in range(3)], schema=names
-            )
-
+        def nodes(lang: str, parts: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+            codes, counts, depths = (b"".join(x) for x in zip(*parts, strict=True))
+            rows = np.frombuffer(codes, np.int64).reshape(-1, WORDS)
+            made = list(subtree(rows, np.frombuffer(counts, np.int64), np.frombuffer(depths, np.int8), least))
+            columns = [[lang] * len(made), *([x[i] for x in made] for i in range(3))]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+
+        key, parts = None, []
         for batch in batches:
-            if not len(batch):
-                continue
-            columns = [batch.column(i + 1).to_numpy() for i in range(WORDS)]
-            count, depth = (batch.column(WORDS + i).to_numpy() for i in (1, 2))
-            langs = batch.column(0)
-            new = np.zeros(len(batch), bool)
-            new[0] = True
-            nodes: list[tuple] = []
-            for d in range(1, WORDS + 1):
-                new[1:] |= columns[d - 1][1:] != columns[d - 1][:-1]
-                if d == 1:
-                    continue
-                starts = np.flatnonzero(new)
-                sums = np.add.reduceat(count, starts)
-                prefix = lambda i, d=d: tuple(int(c[i]) for c in columns[:d])
-                last = len(starts) - 1
-                if d in still and still[d][1] == prefix(0):
-                    sums[0] += still[d][2]
-                elif d in still:
-                    nodes.append(still[d])
-                found = np.flatnonzero((sums >= least) & (columns[d - 1][starts] != 0) & (depth[starts] <= d))
-                for k in found[found < last].tolist():
-                    i = int(starts[k])
-                    nodes.append((langs[i].as_py(), prefix(i), int(sums[k]), True))
-                i = int(starts[last])
-                still[d] = (langs[i].as_py(), prefix(i), int(sums[last]), bool(depth[i] <= d))
-            yield packed(nodes)
-        yield packed(list(still.values()))
-
-    return dealt.mapInArrow(run, "lang string, codes array<long>, a long")
+            for group, lang, *data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (group, lang) != key and parts:
+                    yield nodes(key[1], parts)
+                    parts = []
+                key = group, lang
+                parts.append(tuple(data))
+        if parts:
+            yield nodes(key[1], parts)
+
+    dealt = packed.repartition(groups, "bin").sortWithinPartitions("bin", "lang")
+    made = stored(dealt.mapInArrow(run, "lang string, codes array<long>, a long, whole boolean"), "nodes")
+    split = made.where("not whole").groupBy("lang", "codes").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    return made.where("whole").drop("whole").unionByName(split)
 
 
 def whole(least: int, docs: DataFrame, bits: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Frequent words (lang, word, code, f), all words' total of each language joined as n; frequent phrases."""
+    """Frequent words (lang, word, code, f, and n, all words of the language), and frequent phrases."""
     words = stored(word_counts(docs, bits), "words")
     taken = shared_codes(words, least)
     totals = stored(words.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     frequent = stored(recoded(words.where(F.col("f") >= least), taken), "frequent")
-    sizes = frequent.agg(F.count("*").alias("words")).first(), totals.agg(F.sum("n").alias("n")).first()
-    size = filter_size(64 * sizes[0]["words"])
-    reader = Reader(taken, bits, bits_of(frequent, F.col("code").bitwiseAND(F.lit(size - 1)), size))
-    pairs = frequent_pairs(docs, reader, filter_size((sizes[1]["n"] or 0) // 2), least)
-    rows = stored(suffixes(docs, reader, pairs), "suffixes")
-    total = rows.count()
+    known = frequent.agg(F.count("*").alias("words")).first()["words"]
+    every = totals.agg(F.sum("n").alias("n")).first()["n"] or 0
+    size, buckets = filter_size(64 * known), filter_size(every // 2)
+    place = F.col("code").bitwiseAND(F.lit(size - 1))
+    reader = Reader(taken, bits, bits_of(frequent, place, size))
+    counted = pair_buckets(docs, reader, buckets, least)
+    total = counted.agg(F.sum("f").alias("f")).first()["f"] or 0  # suffixes, before equal ones are one
     groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // group_rows))
-    dealt, extended = grouped(rows, groups, max(1, total // (4 * groups)))
-    nodes = subtrees(dealt, least)
-    for large in extended[1:]:
-        codes = [c for c in large.columns if c in CODES]
-        known = large.where((F.col("f") >= least) & (F.col(codes[-1]) != 0))
-        nodes = nodes.unionByName(known.select("lang", F.array(*codes).alias("codes"), F.col("f").alias("a")))
-    return frequent.join(totals, "lang"), stored(nodes, "nodes")
+    hot = max(1, total // (8 * groups))
+    dealer = Dealer(
+        reader,
+        bits_of(counted, F.col("bucket"), buckets),
+        bits_of(frequent.where(F.col("f") > hot), place, size),
+        bits_of(counted.where(F.col("f") > hot), F.col("bucket"), buckets),
+        groups,
+    )
+    nodes = stored(subtrees(suffixes(docs, dealer), groups, least), "phrases")
+    return frequent.join(totals, "lang"), nodes
 
 
 def score_of(a: str = "a", n: str = "n", left: str = "l", right: str = "r") -> Column:

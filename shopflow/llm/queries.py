@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopflow.llm import (
+    angular,
     chat,
     chosen_path,
     chunk_bpe,
     edited_pairs,
     language,
+    metric_tree,
     nearest,
     packing,
     phrases,
@@ -90,6 +92,20 @@ def op11_suffix_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.phrases(table(spark, sf_dir, "documents"))
 
 
+def op12_angular_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), moved.alias("label"))
+    found = angular.hard_negatives(rows, F.col("id") % 50 == 0, 256)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op13_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = metric_tree.best_products(rows, F.col("id") % 100 == 0, 10, 1024)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def held_out(folds: int, fold: int):
     """Whether a row is in the fold that isn't learnt from; false for a null id."""
     return F.coalesce(fold_of(F.col("doc_id"), folds) == fold, F.lit(False)).alias("held_out")
@@ -115,6 +131,12 @@ QUERIES = {
         op9_quality,
         op10_packing,
         op11_suffix_phrases,
+        op12_angular_negatives,
+        op13_metric_tree,
     )
 }
-ORACLES: dict[str, str] = {"op11_suffix_phrases": sql.PHRASES}
+ORACLES: dict[str, str] = {
+    "op11_suffix_phrases": sql.PHRASES,
+    "op12_angular_negatives": sql.HARD_NEGATIVES,
+    "op13_metric_tree": sql.PRODUCTS,
+}

@@ -37,3 +37,34 @@ SELECT lang, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM lowest
 QUALIFY ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
 """
+
+_VECTORS = """
+v AS (
+  SELECT ROW_NUMBER() OVER () AS rn, vec_id AS id, list_transform(embedding, x -> FLOOR({factor} * x::DOUBLE)) AS e{more}
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x::DOUBLE))) = len(embedding))"""
+
+PRODUCTS = f"""
+WITH {_VECTORS.format(factor=1024, more="")},
+scores AS (
+  SELECT q.rn, q.id AS query_id, v.id AS vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+  FROM v q JOIN v ON q.rn <> v.rn AND len(q.e) = len(v.e) WHERE q.id % 100 = 0)
+SELECT query_id, CAST(ROW_NUMBER() OVER (PARTITION BY rn ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scores QUALIFY ROW_NUMBER() OVER (PARTITION BY rn ORDER BY score DESC, vec_id) <= 10
+"""
+
+HARD_NEGATIVES = f"""
+WITH {_VECTORS.format(factor=256, more=", CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label")},
+scores AS (
+  SELECT a.rn AS an, a.id AS anchor_id, v.rn, v.id, a.label = v.label AS same, CAST(list_dot_product(a.e, v.e) AS BIGINT) AS score
+  FROM v a JOIN v ON a.rn <> v.rn AND len(a.e) = len(v.e)
+  WHERE a.id % 50 = 0 AND a.label IS NOT NULL AND v.label IS NOT NULL),
+positives AS (
+  SELECT * FROM scores WHERE same QUALIFY ROW_NUMBER() OVER (PARTITION BY an ORDER BY score DESC, id, rn) <= 5),
+found AS (
+  SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    CAST(ROW_NUMBER() OVER (PARTITION BY p.an, p.rn ORDER BY n.score DESC, n.id) AS INTEGER) AS rank
+  FROM positives p JOIN scores n ON p.an = n.an AND NOT n.same
+    AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 3
+"""
