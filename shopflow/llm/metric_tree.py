@@ -289,11 +289,11 @@ def best_products(rows: DataFrame, is_query: Column, k: int, factor: int) -> Dat
     queries = stored(placed.where(is_query), "queries")
 
     def in_strips(found: DataFrame) -> DataFrame:
-        return strips(b.in_blocks(found, ["dimension"], STRIP, "strip"))
+        return strips(b.in_blocks(found, ["dimension"], b.STRIP, "strip"))
 
     none = F.lit(None).cast("long").alias("floor")
     strips_now = in_strips(queries.select("*", none))
-    near = b.in_blocks(queries, ["dimension"], STRIP, "strip").select("strip", "row", F.concat_ws("/", "dimension", "region", F.lit(0)).alias("block"))
+    near = b.in_blocks(queries, ["dimension"], b.STRIP, "strip").select("strip", "row", F.concat_ws("/", "dimension", "region", F.lit(0)).alias("block"))
     first = stored(searched(b.chosen_places(near, strips_now), strips_now, trees, k, top), "first")
     floors = first.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("floor"))
     floors = floors.where(F.col("n") >= k).select(F.col("query").alias("row"), "floor")

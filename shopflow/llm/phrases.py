@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from shopflow.sources.scratch import stored
 
 WORDS = 5  # longest phrase
-SLICE = 8 << 20  # bytes of text at a time in a task
+SLICE = 4 << 20  # bytes of text at a time in a task
 GROUP_ROWS = 1 << 20  # memory budget of a group, in suffixes
 FILTER_BITS = (16, 30)  # smallest and largest size of a filter, as powers of two
 RESERVED = 1 << 16  # codes that no hash has

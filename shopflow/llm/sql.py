@@ -40,9 +40,9 @@ QUALIFY ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase
 
 _VECTORS = """
 v AS (
-  SELECT ROW_NUMBER() OVER () AS rn, vec_id AS id, list_transform(embedding, x -> FLOOR({factor} * x::DOUBLE)) AS e{more}
+  SELECT ROW_NUMBER() OVER () AS rn, vec_id AS id, [FLOOR({factor} * x::DOUBLE) FOR x IN embedding] AS e{more}
   FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x::DOUBLE))) = len(embedding))"""
+    AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x::DOUBLE)]) = len(embedding))"""
 
 PRODUCTS = f"""
 WITH {_VECTORS.format(factor=1024, more="")},
