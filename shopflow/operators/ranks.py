@@ -1,8 +1,9 @@
 """Exact running totals and quantiles over any number of rows.
 
-A window over the whole table would run in one task. Here the order column is first cut
-into buckets of similar size at approximate quantiles. The buckets only decide which task
-does what; totals are exact whatever the cuts.
+A window over the whole table would run in one task. For running totals the order column is
+first cut into buckets of similar size at approximate quantiles. Quantiles are selected: a
+histogram of fixed buckets shows which buckets hold the wanted ranks, and only these are
+looked into. Buckets decide who does what; results are exact whatever they are.
 """
 
 from __future__ import annotations
@@ -87,6 +88,16 @@ def running_totals(
     return joined.withColumns(before).drop("bucket", *[f"{m}_offset" for m in measures])
 
 
+#: Buckets for each factor of e between values: a bucket's values differ by a part in 16,384.
+RESOLUTION = 1 << 14
+
+
+def value_bucket(value: str, resolution: int) -> Column:
+    """A whole number that never falls as the value rises: even near zero, logarithmic beyond."""
+    bounded = F.greatest(F.least(F.col(value), F.lit(1e300)), F.lit(-1e300))
+    return F.floor(F.signum(bounded) * F.log1p(F.abs(bounded) * 1e6) * resolution)
+
+
 def exact_quantiles(
     values: DataFrame, key: str, value: str, steps: int, buckets: int | None = None
 ) -> DataFrame:
@@ -94,11 +105,49 @@ def exact_quantiles(
 
     Each is the smallest value with at least that share of the rows at or below it. Ranks
     are compared as whole numbers, so no share is off by a rounding error.
+
+    ``values`` is read twice. The first pass counts rows by bucket of value, which both
+    passes combine on the map side. The second counts the values in the few buckets that
+    hold a wanted rank. What meets in one task is a key's table of buckets, and the
+    different values of one bucket. ``buckets`` is how many there are for each factor of e;
+    it changes the work, never the result.
     """
-    counts = values.groupBy(key, value).agg(F.count("*").alias("n"))
-    ranked = running_totals(counts, value, ["n"], key=key, buckets=buckets)
-    reached = (F.col("n_before") + F.col("n")) * steps
-    quantiles = [
-        F.min(F.when(reached >= F.col("n_total") * i, F.col(value))) for i in range(steps + 1)
-    ]
-    return ranked.groupBy(key).agg(F.array(*quantiles).alias("quantiles"))
+    resolution = buckets or RESOLUTION
+    placed = values.select(key, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
+    placed = placed.withColumn("bucket", value_bucket(value, resolution))
+    counts = placed.groupBy(key, "bucket").agg(F.count("*").alias("n"))
+    totals = counts.groupBy(key).agg(
+        F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("histogram")
+    )
+    place = "struct<bucket: bigint, before: bigint>"
+
+    def reach(seen: Column, bin_: Column) -> Column:
+        before, after = seen["before"], seen["before"] + bin_["n"]
+        here = F.struct(bin_["bucket"].alias("bucket"), before.alias("before"))
+        found = F.transform(
+            seen["found"],
+            lambda f, i: F.coalesce(f, F.when(after * steps >= F.col("total") * i, here)).cast(place),
+        )
+        return F.struct(after.alias("before"), found.alias("found"))
+
+    nothing = F.array_repeat(F.lit(None).cast(place), steps + 1)
+    start = F.struct(F.lit(0).cast("bigint").alias("before"), nothing.alias("found"))
+    places = totals.select(key, "total", F.aggregate("histogram", start, reach)["found"].alias("found"))
+    wanted = stored(places.select(key, "total", F.posexplode("found").alias("step", "place")), "wanted")
+    wanted = wanted.select(key, "total", "step", "place.*")
+
+    inside = placed.join(wanted.select(key, "bucket").distinct(), [key, "bucket"], "left_semi")
+    inside = inside.groupBy(key, "bucket", value).agg(F.count("*").alias("n"))
+    inside = inside.groupBy(key, "bucket").agg(F.array_sort(F.collect_list(F.struct(value, "n"))).alias("inside"))
+
+    def settle(seen: Column, one: Column) -> Column:
+        after = seen["before"] + one["n"]
+        hit = F.when(after * steps >= F.col("total") * F.col("step"), one[value])
+        return F.struct(after.alias("before"), F.coalesce(seen["value"], hit).alias("value"))
+
+    first = F.struct(F.col("before"), F.lit(None).cast("double").alias("value"))
+    settled = wanted.join(inside, [key, "bucket"]).select(
+        key, "step", F.aggregate("inside", first, settle)["value"].alias("value")
+    )
+    each = F.array_sort(F.collect_list(F.struct("step", "value")))
+    return settled.groupBy(key).agg(F.transform(each, lambda q: q["value"]).alias("quantiles"))
