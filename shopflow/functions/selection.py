@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Default model inputs, in order.
@@ -64,6 +65,23 @@ def select_features(
     return Selection(kept, leaking, sorted(set(clean) - set(kept)))
 
 
+def usable_features(
+    df: DataFrame, wanted: Iterable[str] = DEFAULT_FEATURES, label: str = LABEL, denied: Iterable[str] = LEAKAGE_COLUMNS
+) -> list[str]:
+    """The features that can be used, with a warning that names those that are left out and why."""
+    chosen = select_features(df, wanted, label, denied)
+    for names, reason in ((chosen.leaking, "give the label away"), (chosen.missing, "are not in the table")):
+        if names:
+            warnings.warn(f"features left out as they {reason}: {', '.join(names)}", stacklevel=2)
+    return chosen.kept
+
+
+def selection_rows(spark: SparkSession, chosen: Selection) -> DataFrame:
+    """(feature, status): each wanted feature as kept, leaking or missing."""
+    rows = [(name, status) for status, names in zip(Selection._fields, chosen, strict=True) for name in names]
+    return spark.createDataFrame(rows, "feature string, status string")
+
+
 def looks_leaky(name: Column | str, hints: Iterable[str] = LEAKAGE_HINTS) -> Column:
     """True where a column holding feature names contains one of the hints."""
     name = F.lower(F.col(name) if isinstance(name, str) else name)

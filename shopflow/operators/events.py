@@ -16,11 +16,12 @@ from shopflow.schema import RAW_COLUMNS, SHOP_EVENT_TYPES
 
 def parse_events(raw: DataFrame) -> DataFrame:
     """The required columns with a real event time and its date; no row is dropped."""
-    return (
-        raw.select(*RAW_COLUMNS)
-        .withColumn("event_time", event_time("event_time"))
-        .withColumn("event_date", F.to_date("event_time"))
-    )
+    return with_parsed_time(raw.select(*RAW_COLUMNS))
+
+
+def with_parsed_time(raw: DataFrame) -> DataFrame:
+    timed = raw.withColumn("event_time", event_time("event_time"))
+    return timed.withColumn("event_date", F.to_date("event_time"))
 
 
 def is_valid_event() -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import date
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from shopflow.functions.expressions import key_share, ratio
 from shopflow.functions.selection import DEFAULT_FEATURES, LABEL, fill_missing
+from shopflow.operators.events import in_date_range
 
 # The features listed first among the drivers.
 PREFERRED_DRIVERS = tuple(c for c in DEFAULT_FEATURES if c != "num_purchases")
@@ -169,6 +171,62 @@ def correlation_rows(features_table: DataFrame, features: Sequence[str], label:
     )
 
 
+def daily_moments(
+    features_table: DataFrame, features: Sequence[str], label: str = LABEL, date_column: str = "session_date"
+) -> DataFrame:
+    """(session_date, feature, n, sums and central products with the label): what correlations of any days need.
+
+    A mergeable record with a row for each day and feature. Missing values count as 0.
+    """
+    filled = fill_missing(features_table, features, label)
+    y = F.col(label).cast("double")
+    long = filled.select(
+        F.col(date_column).alias("session_date"), y.alias("y"), *[F.col(f).cast("double").alias(f) for f in features]
+    ).unpivot(["session_date", "y"], list(features), "feature", "x")
+    n = F.count("*")
+    return long.groupBy("session_date", "feature").agg(
+        n.alias("n"),
+        F.sum("x").alias("x_sum"),
+        F.sum("y").alias("y_sum"),
+        (F.var_pop("x") * n).alias("xx"),
+        (F.var_pop("y") * n).alias("yy"),
+        (F.covar_pop("x", "y") * n).alias("xy"),
+    )
+
+
+def merged_moments(moments: DataFrame) -> DataFrame:
+    """(feature, n, xx, yy, xy) over all days of ``moments``.
+
+    Products around the days' means become products around the common mean, which keeps the
+    precision that sums of squares would lose.
+    """
+    whole = moments.groupBy("feature").agg(
+        *[F.sum(c).alias(f"{c}_all") for c in ("n", "x_sum", "y_sum")]
+    )
+    off_x = F.col("x_sum") / F.col("n") - F.col("x_sum_all") / F.col("n_all")
+    off_y = F.col("y_sum") / F.col("n") - F.col("y_sum_all") / F.col("n_all")
+    return (
+        moments.join(whole, "feature")
+        .groupBy("feature")
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum(F.col("xx") + F.col("n") * off_x * off_x).alias("xx"),
+            F.sum(F.col("yy") + F.col("n") * off_y * off_y).alias("yy"),
+            F.sum(F.col("xy") + F.col("n") * off_x * off_y).alias("xy"),
+        )
+    )
+
+
+def drivers_from_moments(
+    moments: DataFrame, start: str | date | None = None, end: str | date | None = None, top: int = 8
+) -> DataFrame:
+    """Correlation drivers of a range of days from :func:`daily_moments`: no session is read."""
+    merged = merged_moments(in_date_range(moments, "session_date", start, end))
+    weight = ratio(F.col("xy"), F.sqrt("xx") * F.sqrt("yy"))
+    weights = merged.select("feature", F.coalesce(F.nanvl(weight, F.lit(0.0)), F.lit(0.0)).alias("weight"))
+    return rank_drivers(weights, "feature_correlation", "correlation", False, top)
+
+
 def rank_drivers(
     weights: DataFrame, source: str, score_label: str, signed: bool, top: int = 8
 ) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.functions.selection import DEFAULT_FEATURES, LABEL, select_features
+from shopflow.functions.selection import DEFAULT_FEATURES, LABEL, usable_features
 from shopflow.operators import rollups, scores
 from shopflow.operators.events import as_date, purchases, reportable_events
 from shopflow.operators.histogram import approx_edges, session_distributions
@@ -28,9 +28,9 @@ from shopflow.operators.sessions import (
     sessions_in_range,
     starts_from_session_days,
 )
-from shopflow.schema import SHOP_EVENT_TYPES, empty_table
+from shopflow.schema import SHOP_EVENT_TYPES, empty_table, table_schema
 from shopflow.sources.readers import read_record, require_rows
-from shopflow.sources.scratch import stored
+from shopflow.sources.scratch import emptied, stored
 from shopflow.sources.writers import require_absent, write_record, write_table
 
 
@@ -124,7 +124,7 @@ def build_report(
     }
     propensity = propensity_tables(spark, sessions, model, threshold)
     if model is None:
-        drivers = correlation_drivers(features, select_features(features, wanted).kept)
+        drivers = correlation_drivers(features, usable_features(features, wanted))
     else:
         drivers = coefficient_drivers(model, features)
     kpis = rollups.kpi_record(
@@ -151,7 +151,8 @@ def export_report(
 ) -> Report:
     """Check inputs and targets, then write every table and record under ``out``.
 
-    Without ``overwrite`` nothing is computed or written if any of the targets is there.
+    Without ``overwrite`` nothing is computed or written if any of the targets is there. The tables
+    made on the way are deleted; what is returned reads the report.
     """
     first, last = as_date(start), as_date(end)
     if first and last and first > last:
@@ -161,9 +162,17 @@ def export_report(
     metrics = read_record(spark, metrics_path)
     if not overwrite:
         require_absent(spark, [f"{out}/{name}" for name in (*REPORT_TABLES, *REPORT_RECORDS)])
-    report = build_report(spark, events, features, load_model(model_path), start, end, **settings)
-    for name, record in {**report.records, "model_metrics": metrics}.items():
-        write_record(record, f"{out}/{name}", overwrite)
-    for name, table in report.tables.items():
-        write_table(table, f"{out}/{name}", overwrite)
-    return report
+    with emptied(spark):
+        report = build_report(spark, events, features, load_model(model_path), start, end, **settings)
+        records = {**report.records, "model_metrics": metrics}
+        for name, record in records.items():
+            write_record(record, f"{out}/{name}", overwrite)
+        for name, table in report.tables.items():
+            write_table(table, f"{out}/{name}", overwrite)
+    return read_report(spark, out)
+
+
+def read_report(spark: SparkSession, out: str) -> Report:
+    """A written report's tables and records."""
+    tables = {name: spark.read.schema(table_schema(name)).parquet(f"{out}/{name}") for name in REPORT_TABLES}
+    return Report(tables, {name: spark.read.json(f"{out}/{name}") for name in REPORT_RECORDS})

@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.functions.selection import DEFAULT_FEATURES, LABEL, fill_missing, select_features
+from shopflow.functions.selection import DEFAULT_FEATURES, LABEL, fill_missing, usable_features
 from shopflow.operators.model import (
     fit,
     hash_split,
@@ -26,9 +26,10 @@ from shopflow.operators.scores import (
     score_counts,
     split_provenance,
 )
+from shopflow.plans.stages import recorded
 from shopflow.sources.readers import require_rows
 from shopflow.sources.scratch import stored
-from shopflow.sources.writers import write_split
+from shopflow.sources.writers import write_metric_csv, write_split
 
 
 def train(
@@ -44,9 +45,12 @@ def train(
     label: str = LABEL,
     date_column: str = "session_date",
 ) -> PipelineModel:
-    """Split stored features, store both sets, fit on the training set and save the model."""
+    """Split stored features, store both sets, fit on the training set and save the model.
+
+    Wanted features that leak the label or are not there are left out, with a warning.
+    """
     features = require_rows(spark, features_path, "session features are missing or empty")
-    kept = select_features(features, wanted, label).kept
+    kept = usable_features(features, wanted, label)
     has_date = date_column in features.columns
     columns = ["user_session", label, *kept, *([date_column] if has_date else [])]
     sessions = fill_missing(features.select(*columns), kept, label)
@@ -109,14 +113,21 @@ def evaluate(
     threshold: float = 0.5,
     method: str = "time",
     label: str = LABEL,
+    record_path: str | None = None,
+    csv_path: str | None = None,
 ) -> DataFrame:
-    """The evaluation record of a saved model, with the features it was fitted on."""
+    """The evaluation record of a saved model, with the features it was fitted on.
+
+    Computed once, and written as a JSON record and as (metric, value) CSV where paths are given.
+    """
     test_rows = require_rows(spark, test_path, "test set is missing or empty; run train")
     train_rows = require_rows(spark, train_path, "training set is missing or empty; run train")
     model = load_model(model_path)
     if model is None:
         raise FileNotFoundError("model is missing or unreadable; run train")
     scored = score(model, test_rows, label)
-    return evaluation_record(
-        scored, train_rows, test_rows, model_features(model), label, threshold, method
-    )
+    record = evaluation_record(scored, train_rows, test_rows, model_features(model), label, threshold, method)
+    record = recorded(record, "evaluation_record", record_path)
+    if csv_path:
+        write_metric_csv(record, csv_path)
+    return record

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,12 +21,12 @@ def _path_missing(exc: AnalysisException) -> bool:
     return exc.getCondition() == "PATH_NOT_FOUND"
 
 
-def read_raw_lines(spark: SparkSession, paths: str | Sequence[str], **options: str) -> DataFrame:
+def read_raw_lines(spark: SparkSession, paths: str | Sequence[str], **options: str | bool) -> DataFrame:
     """Event CSV files with a header, and in ``MALFORMED`` each line that doesn't fit the schema."""
     schema = T.StructType([*RAW_EVENT_SCHEMA.fields, T.StructField(MALFORMED, T.StringType())])
     return (
         spark.read.schema(schema)
-        .options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED, **options)
+        .options(**{"header": True, **options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": MALFORMED})
         .csv(paths if isinstance(paths, str) else list(paths))
     )
 
@@ -48,12 +49,12 @@ def fits() -> Column:
     return F.col(MALFORMED).isNull()
 
 
-def line_counts(lines: DataFrame) -> DataFrame:
-    """input_rows that fit the schema and malformed_rows of :func:`read_raw_lines`, as one row."""
-    return lines.agg(
+def count_lines() -> list[Column]:
+    """input_rows that fit the schema and malformed_rows, as aggregates of :func:`read_raw_lines`."""
+    return [
         F.count_if(fits() & any_value()).alias("input_rows"),
         F.count_if(~fits()).alias("malformed_rows"),
-    )
+    ]
 
 
 def month_files(months: Sequence[str], template: str = "{month}.csv") -> list[str]:
@@ -66,15 +67,20 @@ def absent_months(
     spark: SparkSession, folder: str, months: Sequence[str], template: str = "{month}.csv"
 ) -> list[str]:
     """Those of the months that have no file or folder."""
-    absent = []
-    for month, name in zip(months, month_files(months, template), strict=True):
-        try:
-            spark.read.schema("line string").text(f"{folder.rstrip('/')}/{name}")
-        except AnalysisException as exc:
-            if not _path_missing(exc):
-                raise
-            absent.append(month)
-    return absent
+    there = entries(spark, folder)
+    return [m for m, name in zip(months, month_files(months, template), strict=True) if name not in there]
+
+
+def entries(spark: SparkSession, folder: str) -> set[str]:
+    """Names of the files and folders in a folder, from one listing; none if there is no such folder."""
+    base = "/" + folder.rstrip("/").rsplit("/", 1)[-1] + "/"
+    try:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).inputFiles()
+    except AnalysisException as exc:
+        if not _path_missing(exc):
+            raise
+        return set()
+    return {unquote(f.rsplit(base, 1)[-1].split("/", 1)[0]) for f in listed}
 
 
 def read_months(

@@ -4,23 +4,35 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of local sessions that set none, by application.
+_LOCAL: dict[str, str] = {}
+#: Folders of the blocks of :func:`emptied` that are open, the innermost last.
+_OPEN: list[str] = []
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the folder in spark.checkpoint.dir, grouped by application.
 
-    Without that setting a local session uses a temporary folder; a cluster session has
-    no folder all executors share, so that is an error.
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of this application under the one in spark.checkpoint.dir.
+
+    Without that setting a local session, whose tasks share the driver's disk, gets a temporary
+    folder. A cluster session has no folder that all executors share, so that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    application = spark.sparkContext.applicationId
+    root = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(application)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="shopflow-")
-    application = spark.sparkContext.applicationId
-    return f"{root.rstrip('/')}/shopflow-{application}/{uuid.uuid4().hex}/{name}"
+        root = _LOCAL[application] = tempfile.mkdtemp(prefix="shopflow-")
+    return f"{root.rstrip('/')}/shopflow-{application}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a table; inside a block of :func:`emptied`, one that goes when it ends."""
+    return f"{_OPEN[-1] if _OPEN else scratch_root(spark)}/{uuid.uuid4().hex}/{name}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -31,3 +43,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def emptied(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch tables made inside the block at its end, also when it fails.
+
+    For stages whose results are written elsewhere: frames that read the tables are of no use
+    afterwards.
+    """
+    own = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    _OPEN.append(own)
+    try:
+        yield
+    finally:
+        _OPEN.remove(own)
+        remove(spark, own)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there, through the file system that Spark uses for it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -35,20 +35,25 @@ def write_events(
     ``cluster=False`` skips the shuffle by day. That suits input already ordered by time,
     where a task meets few days; otherwise every task would write a file for each day.
     """
-    laid_out = events.hint("rebalance", "event_date") if cluster else events
-    (
-        laid_out.write.mode(mode or save_mode(overwrite))
-        .option("compression", "snappy")
-        .partitionBy("event_date")
-        .parquet(path)
-    )
+    write_days(by_day(events) if cluster else events, path, mode or save_mode(overwrite))
+
+
+def by_day(events: DataFrame) -> DataFrame:
+    """Rows of a day together, a hot day in several tasks: those sizes are known to adaptive execution only."""
+    if events.sparkSession.conf.get("spark.sql.adaptive.enabled", "true") != "true":
+        raise ValueError("switch on spark.sql.adaptive.enabled: without it a day is one task, however large")
+    return events.hint("rebalance", "event_date")
+
+
+def write_days(events: DataFrame, path: str, mode: str) -> None:
+    writer = events.write.mode(mode).option("compression", "snappy").partitionBy("event_date")
+    writer.parquet(path)
 
 
 def reload_days(events: DataFrame, path: str, start: str | date, end: str | date) -> None:
     """Replace only the days from start to end that the events hold; other days stay."""
     (
-        in_date_range(events, "event_date", start, end)
-        .hint("rebalance", "event_date")
+        by_day(in_date_range(events, "event_date", start, end))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "snappy")
@@ -106,6 +111,13 @@ def write_metric_csv(record: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_bucketed(features: DataFrame, table: str, buckets: int, key: str = "user_session") -> None:
-    """A catalog table bucketed by ``key``, so joins on it skip this side's shuffle."""
-    features.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+def write_bucketed(
+    rows: DataFrame, table: str, buckets: int, key: str = "user_session", path: str | None = None
+) -> None:
+    """A catalog table bucketed by ``key``, so joins on it skip this side's shuffle.
+
+    Rows are dealt to buckets first, so a bucket is one sorted file and needs no sort to be joined.
+    ``path`` says where its files go, else the warehouse.
+    """
+    writer = rows.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
