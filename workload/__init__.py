@@ -2,6 +2,6 @@
 
 from workload.registry import ORACLES, QUERIES
 
-from workload import commerce, files, ingest, modelling, reporting, scoring, sessions  # noqa: E402,F401
+from workload import commerce, files, ingest, maintenance, modelling, reporting, scoring, sessions, staged  # noqa: E402,F401
 
 __all__ = ["ORACLES", "QUERIES"]

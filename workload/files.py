@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import functions as F
 
 from shopflow.functions.selection import LABEL
 from shopflow.operators import model, report, rollups
 from shopflow.operators.events import clean_events, purchases, reportable_events
+from shopflow.operators.histogram import exact_edges
 from shopflow.operators.sessions import session_features, session_kpis
-from shopflow.plans.export import build_report
+from shopflow.plans.export import export_report
 from shopflow.sources import readers, writers
 from shopflow.sources.scratch import scratch_path, stored
 from workload import views as v
+from workload.commerce import _KPI_SQL
 from workload.registry import query
 
 # Months asked for; the test orders ship in some of them.
@@ -68,17 +72,19 @@ def csv_roundtrip(spark, sf_dir):
 @query(
     "raw_manifest",
     f"""
-    SELECT 'month=' || m.month AS name,
-      CASE WHEN COUNT(l.event_time) > 0 THEN 'ok' ELSE 'missing' END AS status
+    SELECT 'month=' || m.month AS name, CASE WHEN COUNT(l.event_time) > 0 THEN 'ok' ELSE 'missing' END AS status
     FROM (VALUES {_MONTHS}) m(month) LEFT JOIN l ON strftime(l.event_time, '%Y-%m') = m.month GROUP BY m.month
+    UNION ALL SELECT 'month=tiny', 'too small'
     """,
     "l",
 )
 def raw_manifest(spark, sf_dir):
-    names = readers.month_files(MONTHS, "month={month}")
+    """Months against a size that a line of text does not reach."""
+    path = _csv_months(spark, sf_dir)
+    spark.range(1).select(F.lit("x").alias("line")).coalesce(1).write.text(f"{path}/month=tiny")
+    names = [*readers.month_files(MONTHS, "month={month}"), "month=tiny"]
     expected = spark.createDataFrame([(n,) for n in names], "name STRING")
-    manifest = readers.file_manifest(spark, _csv_months(spark, sf_dir), expected, min_mb=0.0)
-    return manifest.select("name", "status")
+    return readers.file_manifest(spark, path, expected, min_mb=0.00005).select("name", "status")
 
 
 def _stored_events(spark, sf_dir):
@@ -128,18 +134,24 @@ def small_table_roundtrip(spark, sf_dir):
     return readers.read_optional(spark, path, "top_brands")
 
 
-_KPI_VALUES = """
-    WITH k AS (
-      SELECT COUNT(*) AS total_events, COUNT(DISTINCT user_id) AS total_users,
-        COUNT(*) FILTER (event_type = 'purchase') AS total_purchases,
-        ROUND(SUM(price) FILTER (event_type = 'purchase'), 2) AS total_revenue,
-        (SELECT ROUND(SUM(purchase_in_session) / COUNT(*), 6) FROM ls) AS conversion_rate
-      FROM l)
-    SELECT 'total_events' AS metric, CAST(total_events AS DOUBLE) AS value FROM k
-    UNION ALL SELECT 'total_users', total_users FROM k UNION ALL SELECT 'total_purchases', total_purchases FROM k
-    UNION ALL SELECT 'total_revenue', total_revenue FROM k UNION ALL SELECT 'conversion_rate', conversion_rate FROM k
-"""
-_KPI_NAMES = ("total_events", "total_users", "total_purchases", "total_revenue", "conversion_rate")
+_KPI_NUMBERS = {
+    "total_events": "BIGINT",
+    "total_users": "BIGINT",
+    "total_sessions": "BIGINT",
+    "total_purchases": "BIGINT",
+    "total_revenue": "DOUBLE",
+    "avg_order_value": "DOUBLE",
+    "conversion_rate": "DOUBLE",
+    "avg_session_duration_seconds": "DOUBLE",
+    "avg_events_per_session": "DOUBLE",
+    "min_purchase_price": "DOUBLE",
+    "max_purchase_price": "DOUBLE",
+}
+_KPI_TEXTS = ("min_event_date", "max_event_date", "currency")
+_KPI_VALUES = f"WITH k AS ({_KPI_SQL.format(e='l', s='ls')}) " + " UNION ALL ".join(
+    [f"SELECT '{c}' AS metric, CAST({c} AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS label FROM k" for c in _KPI_NUMBERS]
+    + [f"SELECT '{c}', CAST(NULL AS DOUBLE), {c} FROM k" for c in _KPI_TEXTS]
+)
 
 
 def _kpis(spark, sf_dir):
@@ -151,18 +163,25 @@ def _kpis(spark, sf_dir):
 
 @query("record_roundtrip", _KPI_VALUES, "l ls")
 def record_roundtrip(spark, sf_dir):
-    """The KPI record as JSON, read back with all numbers as doubles."""
+    """The whole KPI record as JSON, read back with all numbers as doubles."""
     path = scratch_path(spark, "kpis")
     writers.write_record(_kpis(spark, sf_dir), path)
-    return report.metric_rows(readers.read_record(spark, path), _KPI_NAMES)
+    record = readers.read_record(spark, path)
+    numbers = report.metric_rows(record, list(_KPI_NUMBERS)).withColumn("label", F.lit(None).cast("string"))
+    texts = record.unpivot([], list(_KPI_TEXTS), "metric", "label").withColumn("value", F.lit(None).cast("double"))
+    return numbers.unionByName(texts)
 
 
 @query("metric_csv_roundtrip", _KPI_VALUES, "l ls")
 def metric_csv_roundtrip(spark, sf_dir):
+    """The whole KPI record as (metric, value) lines of a CSV file."""
     path = scratch_path(spark, "metrics")
-    writers.write_metric_csv(_kpis(spark, sf_dir).select(*_KPI_NAMES), path)
+    writers.write_metric_csv(_kpis(spark, sf_dir), path)
     rows = spark.read.schema("metric STRING, value STRING").csv(path, header=True)
-    return rows.withColumn("value", F.col("value").cast("double"))
+    text = F.col("metric").isin(*_KPI_TEXTS)
+    return rows.select(
+        "metric", F.when(~text, F.col("value").try_cast("double")).alias("value"), F.when(text, F.col("value")).alias("label")
+    )
 
 
 @query(
@@ -206,34 +225,90 @@ def model_roundtrip(spark, sf_dir):
     )
 
 
-@query(
-    "report_export",
-    """
+_EXPORTED = """
     SELECT 'funnel_daily' AS name, COUNT(*) AS rows, CAST(SUM(sessions) AS DOUBLE) AS total FROM funnel
     UNION ALL SELECT 'purchases_by_hour', COUNT(*), SUM(revenue) FROM hourly
     UNION ALL SELECT 'conversion_by_weekday', COUNT(*), SUM(sessions) FROM weekdays
     UNION ALL SELECT 'top_categories', COUNT(*), SUM(revenue) FROM categories
     UNION ALL SELECT 'top_brands', COUNT(*), SUM(revenue) FROM brands
-    """,
-    "funnel hourly weekdays categories brands",
-)
-def report_export(spark, sf_dir):
-    """Size and total of each table the report plan builds from its shared tables."""
-    built = build_report(spark, v.behaviour(spark, sf_dir), session_features(v.behaviour(spark, sf_dir)))
-    totals = {
-        "funnel_daily": "sessions",
-        "purchases_by_hour": "revenue",
-        "conversion_by_weekday": "sessions",
-        "top_categories": "revenue",
-        "top_brands": "revenue",
-    }
+    UNION ALL SELECT 'session_distributions', COUNT(*), SUM(count) FROM ed_dist
+    UNION ALL SELECT 'kpis', 1, (SELECT COUNT(*) FROM er)
+"""
+_EXPORT_VIEWS = "funnel hourly weekdays categories brands ed_dist er es"
+#: A column of each table whose total can be told without the model.
+_TOTALS = {
+    "funnel_daily": "sessions",
+    "purchases_by_hour": "revenue",
+    "conversion_by_weekday": "sessions",
+    "top_categories": "revenue",
+    "top_brands": "revenue",
+    "session_distributions": "count",
+    "propensity_daily": "sessions",
+    "propensity_hist": "sessions_count",
+    "propensity_threshold": "threshold",
+    "calibration_bins": "sessions",
+    "threshold_curves": "threshold",
+}
+
+
+def _exported(spark, sf_dir, with_model):
+    """A report written by the export stage from stored inputs, and read back: rows and a total of each table."""
+    at = {n: scratch_path(spark, n) for n in ("events", "features", "metrics", "model", "report")}
+    writers.write_events(v.behaviour(spark, sf_dir), at["events"])
+    features = session_features(spark.read.parquet(at["events"]))
+    features.write.parquet(at["features"])
+    features = spark.read.parquet(at["features"])
+    writers.write_record(session_kpis(features), at["metrics"])
+    if with_model:
+        model.save_model(model.fit(features, list(v.EXAMPLE_WEIGHTS)), at["model"])
+    edges = exact_edges(v.behaviour_sessions(spark, sf_dir))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # without a model, num_purchases is left out of the drivers
+        built = export_report(
+            spark, at["events"], at["features"], at["metrics"], at["model"], at["report"], edges=stored(edges, "edges")
+        )
     rows = [
         built.tables[name].agg(
             F.lit(name).alias("name"), F.count("*").alias("rows"), F.sum(column).cast("double").alias("total")
         )
-        for name, column in totals.items()
+        for name, column in _TOTALS.items()
     ]
+    kpis = built.records["kpis"]
+    rows.append(kpis.select(F.lit("kpis").alias("name"), F.lit(1).cast("bigint").alias("rows"), F.col("total_events").cast("double").alias("total")))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
     return out
+
+
+@query(
+    "report_export",
+    f"""{_EXPORTED}
+    UNION ALL SELECT name, 0, NULL FROM (VALUES ('propensity_daily'), ('propensity_hist'), ('propensity_threshold'),
+      ('calibration_bins'), ('threshold_curves')) t(name)
+    """,
+    _EXPORT_VIEWS,
+)
+def report_export(spark, sf_dir):
+    """All tables of an exported report without a model: those of the scores are there and empty."""
+    return _exported(spark, sf_dir, False)
+
+
+@query(
+    "report_export_model",
+    f"""{_EXPORTED}
+    UNION ALL SELECT 'propensity_daily', COUNT(DISTINCT session_date), COUNT(*) FROM es
+    UNION ALL SELECT 'propensity_hist', NULL, COUNT(*) FROM es UNION ALL SELECT 'propensity_threshold', 1, 0.5
+    UNION ALL SELECT 'calibration_bins', NULL, COUNT(*) FROM es UNION ALL SELECT 'threshold_curves', NULL, NULL
+    """,
+    _EXPORT_VIEWS,
+)
+def report_export_model(spark, sf_dir):
+    """The export with a fitted model. How many bins its scores fill is left out: SQL can't tell."""
+    bins = F.col("name").isin("propensity_hist", "calibration_bins", "threshold_curves")
+    built = _exported(spark, sf_dir, True)
+    return built.select(
+        "name",
+        F.when(~bins | (F.col("rows") == 0), F.col("rows")).alias("rows"),
+        F.when(F.col("name") != "threshold_curves", F.col("total")).alias("total"),
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shopflow.operators import report, rollups, scores
 from shopflow.operators.events import purchases
 from shopflow.operators.histogram import exact_edges, session_distributions
-from shopflow.operators.sessions import conversion_by_weekday
+from shopflow.operators.sessions import conversion_by_weekday, session_kpis
 from shopflow.sources.scratch import stored
 from workload import views as v
 from workload.registry import query
@@ -56,6 +56,19 @@ class Tables:
     def weekdays(self):
         return conversion_by_weekday(self.sessions)
 
+    @cached_property
+    def distributions(self):
+        return stored(session_distributions(self.sessions, exact_edges(self.sessions)), "distributions")
+
+    @property
+    def daily_scores(self):
+        return scores.propensity_daily(scores.score_cube(v.scored(self.sessions)))
+
+    @property
+    def kpis(self):
+        activity = rollups.activity_kpis(v.shop_events(*self.at))
+        return rollups.kpi_record(activity, session_kpis(self.sessions))
+
 
 def _event_days(df, start=v.START, end=v.END):
     return report.filter_dates(df, "event_date", start, end)
@@ -91,23 +104,32 @@ _BOUNDS = """
       UNION ALL SELECT MIN(event_date), MAX(event_date) FROM hourly
       UNION ALL SELECT MIN(session_date), MAX(session_date) FROM weekdays
       UNION ALL SELECT MIN(event_date), MAX(event_date) FROM categories
-      UNION ALL SELECT MIN(event_date), MAX(event_date) FROM brands)
+      UNION ALL SELECT MIN(event_date), MAX(event_date) FROM brands
+      UNION ALL SELECT MIN(session_date), MAX(session_date) FROM ed_dist
+      UNION ALL SELECT MIN(date), MAX(date) FROM daily_scores
+      UNION ALL SELECT MIN(event_date), MAX(event_date) FROM er)
 """
+_SEVEN = "funnel hourly weekdays categories brands ed_dist daily_scores"
+
+
+def _seven(t):
+    """The seven report tables that have days, with the column that holds them."""
+    return [
+        (t.funnel, "event_date"),
+        (t.hourly, "event_date"),
+        (t.weekdays, "session_date"),
+        (t.categories, "event_date"),
+        (t.brands, "event_date"),
+        (t.distributions, "session_date"),
+        (t.daily_scores, "date"),
+    ]
 
 
 def _bounds(t):
-    return report.date_bounds(
-        [
-            (t.funnel, "event_date"),
-            (t.hourly, "event_date"),
-            (t.weekdays, "session_date"),
-            (t.categories, "event_date"),
-            (t.brands, "event_date"),
-        ]
-    )
+    return report.date_bounds(_seven(t), t.kpis)
 
 
-@query("report_bounds", _BOUNDS, "funnel hourly weekdays categories brands")
+@query("report_bounds", _BOUNDS, f"{_SEVEN} er")
 def report_bounds(spark, sf_dir):
     return _bounds(Tables(spark, sf_dir))
 
@@ -118,7 +140,7 @@ def report_bounds(spark, sf_dir):
     WITH b AS ({_BOUNDS})
     SELECT f.* FROM funnel f, b WHERE event_date BETWEEN GREATEST(min_date, max_date - 6) AND max_date
     """,
-    "funnel hourly weekdays categories brands",
+    f"{_SEVEN} er",
 )
 def relative_range(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -419,16 +441,23 @@ def insight_rows_no_match(spark, sf_dir):
     return report.insight_rows(totals, hourly, categories, _session_days(t.weekdays, *late))
 
 
-@query(
-    "no_match",
-    f"""
-    SELECT (SELECT COUNT(*) FROM funnel WHERE {_EVENT_DAYS}) + (SELECT COUNT(*) FROM hourly WHERE {_EVENT_DAYS})
-      + (SELECT COUNT(*) FROM categories WHERE {_EVENT_DAYS}) + (SELECT COUNT(*) FROM brands WHERE {_EVENT_DAYS})
-      + (SELECT COUNT(*) FROM weekdays WHERE {_SESSION_DAYS}) = 0 AS no_match
-    """,
-    "funnel hourly categories brands weekdays",
-)
+def _none(start: str, end: str) -> str:
+    counts = " + ".join(
+        f"(SELECT COUNT(*) FROM {name} WHERE {column} BETWEEN DATE '{start}' AND DATE '{end}')"
+        for name, column in zip(_SEVEN.split(), ("event_date",) * 2 + ("session_date",) + ("event_date",) * 2 + ("session_date", "date"))
+    )
+    return f"SELECT '{start}' AS start, {counts} = 0 AS no_match"
+
+
+LATE = ("2030-01-02", "2030-01-31")
+
+
+@query("no_match", f"{_none(v.START, v.END)} UNION ALL {_none(*LATE)}", _SEVEN)
 def no_match(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    tables = [_event_days(df) for df in (t.funnel, t.hourly, t.categories, t.brands)]
-    return report.no_match([*tables, _session_days(t.weekdays)])
+    """Days with data, and days after all of it."""
+    tables = _seven(Tables(spark, sf_dir))
+    found = [
+        report.no_match([report.filter_dates(df, column, *days) for df, column in tables]).withColumn("start", F.lit(days[0]))
+        for days in ((v.START, v.END), LATE)
+    ]
+    return found[0].unionByName(found[1])

@@ -272,7 +272,7 @@ def binned_roc(spark, sf_dir):
       ROUND(positives / total, 6) AS pct_positive_test, CAST(0.5 AS DOUBLE) AS threshold_used,
       'label' AS label_column, auc, ROUND((tp + tn) / total, 6) AS accuracy, ROUND(p, 6) AS precision,
       ROUND(r, 6) AS recall, ROUND(2 * p * r / (p + r), 6) AS f1, ROUND(positives / total, 6) AS positive_rate,
-      tn, fp, fn, tp, 'test' AS evaluation_set, auc >= 1.0 AS suspiciously_perfect_metrics
+      tn, fp, fn, tp, 'test' AS evaluation_set, '{",".join(v.EXAMPLE_WEIGHTS)}' AS features_used, auc >= 1.0 AS suspiciously_perfect_metrics
     FROM prov, pr, a
     """,
     "scored",
@@ -280,7 +280,8 @@ def binned_roc(spark, sf_dir):
 def evaluation(spark, sf_dir):
     train, test = _two_sides(spark, sf_dir)
     record = evaluation_record(test, train, test, list(v.EXAMPLE_WEIGHTS), label="label")
-    return record.select("*", "confusion_matrix.*").drop("confusion_matrix", "features_used")
+    listed = record.withColumn("features_used", F.array_join("features_used", ","))
+    return listed.select("*", "confusion_matrix.*").drop("confusion_matrix")
 
 
 @query(

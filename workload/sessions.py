@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shopflow.operators.histogram import approx_edges, exact_edges, session_distributions
+from shopflow.operators.events import reportable_events
+from shopflow.operators.histogram import (
+    approx_edges,
+    daily_sketches,
+    exact_edges,
+    session_distributions,
+    sketched_edges,
+)
 from shopflow.operators.sessions import (
     conversion_by_weekday,
     feature_summary,
@@ -18,6 +25,9 @@ from shopflow.operators.sessions import (
 from shopflow.sources.scratch import stored
 from workload import views as v
 from workload.registry import query
+from workload.sql_views import _FEATURES
+
+HISTOGRAM_RANGES = (("2024-01-01", "2024-01-31"), (v.START, v.END))
 
 
 @query("session_features_behaviour", "SELECT * FROM ef", "ef")
@@ -30,18 +40,9 @@ def features_commerce(spark, sf_dir):
     return session_features(v.commerce(spark, sf_dir))
 
 
-@query(
-    "session_features_in_range",
-    """
-    SELECT user_session, COUNT(*) AS total_events, COUNT(DISTINCT product_id) AS unique_products,
-      CAST(epoch(MAX(event_time)) - epoch(MIN(event_time)) AS BIGINT) AS session_duration_seconds
-    FROM lr GROUP BY user_session
-    """,
-    "lr",
-)
+@query("session_features_in_range", _FEATURES.format(source="lr"), "lr")
 def features_in_range(spark, sf_dir):
-    features = session_features(v.commerce(spark, sf_dir), v.L_START, v.L_END)
-    return features.select("user_session", "total_events", "unique_products", "session_duration_seconds")
+    return session_features(v.commerce(spark, sf_dir), v.L_START, v.L_END)
 
 
 @query(
@@ -57,7 +58,19 @@ def summary(spark, sf_dir):
 
 @query("session_dates_join", "SELECT * FROM lsr", "lsr")
 def dates_join(spark, sf_dir):
-    return v.commerce_sessions(spark, sf_dir, v.L_START, v.L_END).drop("session_start")
+    """All features joined with the dates of the sessions in range, as the report does."""
+    source = v.commerce(spark, sf_dir)
+    starts = starts_from_session_days(session_days(reportable_events(source, v.L_START, v.L_END)))
+    return sessions_in_range(session_features(source), starts, v.L_START, v.L_END).drop("session_start")
+
+
+@query("weekday_of_first_event", "SELECT user_session, CAST(dayofweek(MIN(event_time)) + 1 AS INTEGER) AS day_of_week FROM lr GROUP BY user_session", "lr")
+def weekday_of_first_event(spark, sf_dir):
+    """Features that were stored without a weekday get that of the first event in range."""
+    source = v.commerce(spark, sf_dir)
+    starts = starts_from_session_days(session_days(reportable_events(source, v.L_START, v.L_END)))
+    lacking = session_features(source).drop("day_of_week", "session_date")
+    return sessions_in_range(lacking, starts).select("user_session", "day_of_week")
 
 
 @query("sessions_in_range_one_scan", "SELECT * FROM lsr", "lsr")
@@ -114,10 +127,31 @@ def histogram_commerce(spark, sf_dir):
     return session_distributions(sessions, exact_edges(sessions))
 
 
-@query("approx_histogram")
+@query(
+    "approx_histogram",
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS start, metric, session_date, COUNT(*) AS count, TRUE AS in_order FROM ed_values"
+        f" WHERE session_date BETWEEN DATE '{a}' AND DATE '{b}' GROUP BY metric, session_date"
+        for a, b in HISTOGRAM_RANGES
+    ),
+    "ed_values",
+)
 def approx_histogram(spark, sf_dir):
+    """Histograms of two ranges on edges from the same daily sketches: sessions by day, bins in order.
+
+    ``sketched_quantiles`` holds the ranks of the edges against the exact ones.
+    """
     sessions = stored(v.behaviour_sessions(spark, sf_dir), "sessions")
-    return session_distributions(sessions, approx_edges(sessions))
+    sketches = stored(daily_sketches(sessions), "sketches")
+    parts = []
+    for start, end in HISTOGRAM_RANGES:
+        days = sessions.filter(F.col("session_date").between(start, end))
+        bins = session_distributions(days, sketched_edges(sketches, start, end))
+        totals = bins.groupBy("metric", "session_date").agg(
+            F.sum("count").alias("count"), F.bool_and(F.col("bin_start") < F.col("bin_end")).alias("in_order")
+        )
+        parts.append(totals.withColumn("start", F.lit(start)))
+    return parts[0].unionByName(parts[1])
 
 
 @query(

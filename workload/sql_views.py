@@ -108,6 +108,12 @@ SELECT CASE WHEN event_id % 101 = 0 OR event_id % 103 = 0 THEN NULL ELSE event_t
   product_id, category_id, category_code, brand,
   CASE WHEN event_id % 109 = 0 THEN -1.0 ELSE price END AS price,
   CASE WHEN event_id % 127 <> 0 THEN user_id END AS user_id, user_session
+FROM e""",
+    "raw_ids": """
+SELECT event_id, CASE WHEN event_id % 101 = 0 OR event_id % 103 = 0 THEN NULL ELSE event_time END AS event_time,
+  CASE WHEN event_id % 107 <> 0 THEN event_type END AS event_type,
+  CASE WHEN event_id % 109 = 0 THEN -1.0 ELSE price END AS price,
+  CASE WHEN event_id % 127 <> 0 THEN user_id END AS user_id, user_session
 FROM e""",
     "clean_e": """
 SELECT *, CAST(event_time AS DATE) AS event_date FROM raw_e

@@ -71,8 +71,8 @@ def behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The behaviour events as raw text rows, every so often broken in some way."""
+def raw_behaviour(spark: SparkSession, sf_dir: str, keep: str | None = None) -> DataFrame:
+    """The behaviour events as raw text rows, every so often broken in some way; and a column to ``keep``."""
     text = F.date_format("event_time", "yyyy-MM-dd HH:mm:ss")
     n = F.col("event_id")
     written = (
@@ -91,6 +91,7 @@ def raw_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 109 == 0, -1.0).otherwise(F.col("price")).alias("price"),
         F.when(n % 127 != 0, F.col("user_id")).alias("user_id"),
         "user_session",
+        *([keep] if keep else []),
     )
 
 
