@@ -170,19 +170,24 @@ class Block:
     def __init__(self, d: int, top: float, ids: bytes, rows: bytes, labels: bytes, kind: str, vectors: bytes, own: bytes) -> None:
         self.ids, self.rows, self.labels = (np.frombuffer(x, np.int64) for x in (ids, rows, labels))
         self.vectors = b.wide(kind, vectors, d, len(self.ids), top)
-        self.angles = np.frombuffer(own, np.float32).reshape(len(self.ids), -1).astype(np.float64)
+        self.angles = np.ascontiguousarray(np.frombuffer(own, np.float32).reshape(len(self.ids), -1).T)
         self.lengths, self.room = lengths(self.vectors), room(d)
         self.scored = 0
 
+    def cosines(self, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and largest cosine of each row with a vector of these angles: a row's angles are points."""
+        one = one.astype(np.float32)[:, None]
+        apart = np.abs(self.angles - one).max(axis=0, initial=0.0) - 2 * self.room
+        together = math.pi - np.abs(self.angles - (np.float32(math.pi) - one)).max(axis=0, initial=0.0) + 2 * self.room
+        return np.cos(np.minimum(together, math.pi)), np.cos(np.maximum(apart, 0.0))
+
     def search(self, a: Anchors, i: int, same: bool, windows: list[tuple[int, int]], best: list[b.Best]) -> None:
         """Adds rows of the same label as the anchor, or of others, whose scores lie in windows."""
-        at = np.flatnonzero((self.labels == a.labels[i]) == same)
-        at = at[self.rows[at] != a.rows[i]]
         from_ = [max(low, x.floor() or LOWEST) for (low, _), x in zip(windows, best, strict=True)]
         least, most = min(from_), max(high for _, high in windows)
-        cosines = cosine_bounds(a.angles[i], self.angles[at], self.angles[at], self.room)
-        low, high = score_bounds(*cosines, a.lengths[i], self.lengths[at], self.lengths[at])
-        at = at[(high >= least) & (low <= most)]
+        low, high = score_bounds(*self.cosines(a.angles[i]), a.lengths[i], self.lengths, self.lengths)
+        fits = (high >= least) & (low <= most) & ((self.labels == a.labels[i]) == same) & (self.rows != a.rows[i])
+        at = np.flatnonzero(fits)
         self.scored += len(at)
         scores = b.products(self.vectors[at], a.vectors[i].astype(self.vectors.dtype))
         for start, (_, end), x in zip(from_, windows, best, strict=True):
