@@ -32,7 +32,7 @@ def ingest(
     once, also if tasks of lost executors run again; before a shuffle it would add them twice. The
     rest of the summary comes from the columns of the written table. ``options`` go to the CSV reader.
     """
-    lines = with_parsed_time(read_raw_lines(spark, csv_paths, **options))
+    lines = with_parsed_time(read_raw_lines(session_beside(spark), csv_paths, **options))
     seen = Observation("lines")
     counted = (by_day(lines) if cluster else lines).observe(seen, *count_lines())
     kept = counted.filter(fits() & any_value() & is_valid_event())
@@ -43,6 +43,19 @@ def ingest(
     return recorded(summary.select(*counts, *summary.columns), "ingest_summary", record_path)
 
 
+def session_beside(spark: SparkSession) -> SparkSession:
+    """A session of its own with the same settings, for observed frames.
+
+    Once a session has observed a frame, Spark 4.1 can no longer send a freshly fitted model of that
+    session to tasks.
+    """
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    return own
+
+
 def recorded(summary: DataFrame, name: str, record_path: str | None) -> DataFrame:
     """A one-row result computed once, and written as a JSON record where a path is given."""
     summary = stored(summary, name)

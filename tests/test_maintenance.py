@@ -203,6 +203,8 @@ def test_ingest_counts_lines_in_one_parse(spark, tmp_path):
         got = stages.ingest(spark, str(tmp_path / "in.csv"), out, cluster=cluster, record_path=f"{out}-record", header=False).first()
         assert (got.input_rows, got.malformed_rows, got.output_rows) == (62, 11, 60)
         assert spark.read.json(f"{out}-record").first().malformed_rows == 11
+    table = spark.createDataFrame([(float(i), i % 2, "2024-01-01") for i in range(20)], "num_views double, purchase_in_session int, session_date string")
+    assert model.score(model.fit(table, ["num_views"]), table).count() == 20
 
 
 def test_scratch_tables_go_with_their_block(spark):
