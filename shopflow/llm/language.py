@@ -8,10 +8,10 @@ number for each language.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from shopflow.sources.scratch import stored
 SPAN = 96  # bytes of a window
 HIDDEN = 12
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def initial(languages: int, seed: int = 7) -> dict[str, np.ndarray]:

@@ -6,6 +6,9 @@ A pair whose upper end is below the k-th largest lower end of its query can't be
 nearest; the others are recomputed in double precision from the vectors as they were given. A
 task goes through all blocks of candidates dealt to it with one heap for each query; the heaps
 of all tasks are merged at the end.
+
+Queries come in strips of many blocks, and each block of candidates travels once for each strip.
+Vectors travel as 32-bit numbers where these hold them exactly.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ from pyspark.sql import functions as F
 from shopflow.llm.common import map_batches, map_groups
 from shopflow.sources.scratch import stored
 
-BLOCK = 2048
-QUERIES = 512
+BLOCK = 2048  # candidates of a tile
+STRIP = 8192  # queries that a block of candidates travels with
+QUERIES = 512  # of a tile
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,29 +52,38 @@ def valid(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(value, lambda v: v != 0.0), F.lit(False))
 
 
+def exactly(vectors: np.ndarray) -> tuple[str, bytes]:
+    """Vectors as 32-bit numbers if that changes none, else as 64-bit ones."""
+    with np.errstate(over="ignore"):
+        small = vectors.astype("<f4")
+    kind = "<f4" if (small.astype(np.float64) == vectors).all() else "<f8"
+    return kind, vectors.astype(kind).tobytes()
+
+
 def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Blocks of about ``size`` rows: dimension, block number, ids and vectors as bytes."""
+    """Blocks of about ``size`` rows: dimension, block number, row numbers, ids and vectors as bytes."""
     sizes = rows.groupBy("dimension").agg(F.ceil(F.count("*") / size).alias("blocks"))
-    dealt = rows.join(sizes, "dimension").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    made = {"dimension": "int", "block": "long", "ids": "binary", "vectors": "binary"}
+    dealt = rows.join(sizes, "dimension").withColumn("block", F.pmod(F.xxhash64("row"), "blocks"))
+    made = {"dimension": "int", "block": "long", "rows": "binary", "ids": "binary", "kind": "string", "vectors": "binary"}
 
     def pack(key: tuple, members: list[tuple]) -> list[tuple]:
-        ids, vectors = zip(*members, strict=True)
-        return [(*key, np.array(ids, np.int64).tobytes(), np.array(vectors, np.float64).tobytes())]
+        row, ids, vectors = zip(*members, strict=True)
+        whole = np.array(row, np.int64).tobytes(), np.array(ids, np.int64).tobytes()
+        return [(*key, *whole, *exactly(np.array(vectors, np.float64)))]
 
-    return stored(map_groups(dealt, ["dimension", "block"], ["id", "vector"], made, pack), name)
+    return stored(map_groups(dealt, ["dimension", "block"], ["row", "id", "vector"], made, pack), name)
 
 
 class Nearest:
-    """The k nearest candidates of each query met so far: heaps of (score, -id)."""
+    """The k nearest candidates of each query row met so far: heaps of (score, -id, row)."""
 
     def __init__(self, k: int) -> None:
         self.k = k
-        self.heaps: dict[int, list[tuple[float, int]]] = {}
+        self.heaps: dict[int, list[tuple[float, int, int]]] = {}
 
-    def add(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, query: int, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
         heap = self.heaps.setdefault(query, [])
-        for entry in zip(scores.tolist(), (-ids).tolist(), strict=True):
+        for entry in zip(scores.tolist(), (-ids).tolist(), rows.tolist(), strict=True):
             if len(heap) < self.k:
                 heapq.heappush(heap, entry)
             elif entry > heap[0]:
@@ -81,7 +94,7 @@ class Nearest:
         heap = self.heaps.get(query, ())
         return heap[0][0] if len(heap) == self.k else -2.0
 
-    def tile(self, query_ids, queries, ids, vectors) -> None:
+    def tile(self, query_rows, queries, rows, ids, vectors) -> None:
         q, q_scale, q_lost = quantised(queries)
         c, c_scale, c_lost = quantised(vectors)
         # Products of int8 numbers are whole, and exact in float32 up to 2**24.
@@ -95,11 +108,11 @@ class Nearest:
         low = about - error
         kth = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] >= k else np.full(len(low), -2.0)
         high = about + error
-        for i, query in enumerate(query_ids.tolist()):
+        for i, query in enumerate(query_rows.tolist()):
             alive = np.flatnonzero((high[i] >= kth[i]) & (high[i] >= self.floor(query)))
-            alive = alive[ids[alive] != query]
+            alive = alive[rows[alive] != query]
             if len(alive):
-                self.add(query, cosines(vectors[alive], queries[i]), ids[alive])
+                self.add(query, cosines(vectors[alive], queries[i]), ids[alive], rows[alive])
 
 
 def nearest(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
@@ -107,24 +120,25 @@ def nearest(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
 
     ``rows``: id (long) and vector; ``is_query`` says which ids are queries. Candidates of a
     query are all rows but its own, of the same dimension. Vectors that are null, zero or hold
-    a null or non-finite component take no part, nor do null ids. If an id is repeated, its
-    smallest vector counts. Ties go to the smaller id. Returns query_id, rank (from 1), id and
-    score; a query without candidates has no row.
+    a null or non-finite component take no part, nor do null ids. A repeated id is a candidate,
+    and if it is a query a query, for each of its rows. Ties go to the smaller id. Returns
+    query_id, rank (from 1), id, score and query_row, which tells repeated queries apart; a query
+    without candidates has no row.
     """
     usable = rows.where(F.col("id").isNotNull() & valid(F.col("vector")))
-    usable = usable.groupBy("id").agg(F.min(F.col("vector").cast("array<double>")).alias("vector"))
-    usable = stored(usable.withColumn("dimension", F.size("vector")), "vectors")
+    usable = usable.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    usable = usable.withColumns({"dimension": F.size("vector"), "row": F.monotonically_increasing_id()})
+    usable = stored(usable, "vectors")
     candidates = packed(usable, BLOCK, "candidates")
-    queries = packed(usable.where(is_query), QUERIES, "queries").select(
-        "dimension", F.col("block").alias("query_block"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries")
-    )
-    # The tiles: each block of queries meets each block of candidates of its dimension.
-    blocks = queries.groupBy("dimension").agg(F.max("query_block").alias("last"))
-    spread = candidates.join(blocks, "dimension").withColumn(
+    named = [F.col(c).alias(f"query_{c}") for c in ("block", "rows", "kind", "vectors")]
+    queries = packed(usable.where(is_query), STRIP, "queries").select("dimension", *named)
+    # The tiles: each strip of queries meets each block of candidates of its dimension.
+    strips = queries.groupBy("dimension").agg(F.max("query_block").alias("last"))
+    spread = candidates.drop("block").join(strips, "dimension").withColumn(
         "query_block", F.explode(F.sequence(F.lit(0).cast("long"), "last"))
     )
     tiles = spread.join(queries, ["dimension", "query_block"]).select(
-        "dimension", "ids", "vectors", "query_ids", "queries"
+        "dimension", "rows", "ids", "kind", "vectors", "query_rows", "query_kind", "query_vectors"
     )
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles = tiles.repartition(parts)
@@ -132,19 +146,24 @@ def nearest(rows: DataFrame, is_query: Column, k: int) -> DataFrame:
     def start():
         def make(batch):
             found = Nearest(k)
-            for d, ids, vectors, query_ids, queries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found.tile(
-                    np.frombuffer(query_ids, np.int64),
-                    np.frombuffer(queries, np.float64).reshape(-1, d),
-                    np.frombuffer(ids, np.int64),
-                    np.frombuffer(vectors, np.float64).reshape(-1, d),
-                )
-            out = [(q, -i, s) for q, heap in found.heaps.items() for s, i in heap]
+
+            def whole(data, kind, d):
+                return np.frombuffer(data, kind).reshape(-1, d).astype(np.float64)
+
+            for d, rows, ids, kind, vectors, query_rows, query_kind, queries in zip(
+                *(c.to_pylist() for c in batch.columns), strict=True
+            ):
+                rows, ids, query_rows = (np.frombuffer(x, np.int64) for x in (rows, ids, query_rows))
+                vectors, queries = whole(vectors, kind, d), whole(queries, query_kind, d)
+                for q in range(0, len(query_rows), QUERIES):
+                    found.tile(query_rows[q : q + QUERIES], queries[q : q + QUERIES], rows, ids, vectors)
+            out = [(q, -i, s) for q, heap in found.heaps.items() for s, i, _ in heap]
             return [], [list(c) for c in zip(*out, strict=True)] if out else [[], [], []]
 
         return make
 
-    near = map_batches(tiles, [], {"query_id": "long", "id": "long", "score": "double"}, start)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    near = map_batches(tiles, [], {"query_row": "long", "id": "long", "score": "double"}, start, at_once=64)
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "id")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "id", "score")
+    names = usable.where(is_query).select(F.col("row").alias("query_row"), F.col("id").alias("query_id"))
+    return ranked.join(names, "query_row").select("query_id", "rank", "id", "score", "query_row")

@@ -178,5 +178,24 @@ def test_quantisation_bounds_hold():
 def test_repeated_ids_and_empty_tables(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [1.0, 1.0])]
     got = nearest.nearest(vectors(spark, rows), F.col("id") == 0, 3).collect()
-    assert [(r.query_id, r["rank"], r.id, round(r.score, 6)) for r in got] == [(0, 1, 1, 0.0)]
+    each = [(0, 1, 0, 1.0), (0, 2, 1, 0.707107), (0, 3, 1, 0.0)]  # for both rows with id 0
+    assert sorted((r.query_id, r["rank"], r.id, round(r.score, 6)) for r in got) == sorted(each * 2)
+    assert len({r.query_row for r in got}) == 2
     assert nearest.nearest(vectors(spark, rows).where("id > 9"), F.col("id") == 0, 3).count() == 0
+
+
+def test_strips_of_few_queries_and_vectors_that_need_64_bits(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "STRIP", 4)
+    monkeypatch.setattr(nearest, "QUERIES", 2)
+    monkeypatch.setattr(nearest, "BLOCK", 16)
+    draw = np.random.default_rng(9)
+    d = draw.standard_normal((120, 3))
+    d[40:70] = d[7]
+    d[::2] = d[::2].astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(d)], "id long, vector array<double>").repartition(3)
+    got = nearest.nearest(table, F.col("id") % 10 == 0, 5).collect()
+    for q in range(0, 120, 10):
+        score = nearest.cosines(d, d[q])
+        best = [i for i in np.lexsort((np.arange(120), -score)).tolist() if i != q][:5]
+        mine = sorted((r["rank"], r.id, r.score) for r in got if r.query_id == q)
+        assert mine == [(n + 1, i, score[i]) for n, i in enumerate(best)]

@@ -101,8 +101,8 @@ def test_language_of_held_out_rows(tables, make_docs):
     model = language.learn(docs, fold_of(F.col("doc_id"), 3) != 1)
     found = language.predict(docs, model).join(docs, "doc_id").where(fold_of(F.col("doc_id"), 3) == 1)
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
-    odd = {r.doc_id: r for r in language.predict(make_docs([None, "", "123 !", "the and", "la " * 90_000]), model).collect()}
-    assert [odd[k].lang_pred for k in (0, 1, 2)] == ["und"] * 3 and odd[3].lang_pred == "en"
+    odd = {r.doc_id: r for r in language.predict(make_docs([None, "", "123 !", "the and", "la " * 90_000, "² ½ ① Ⅷ _"]), model).collect()}
+    assert [odd[k].lang_pred for k in (0, 1, 2, 5)] == ["und"] * 4 and odd[3].lang_pred == "en"
     assert all(0 <= r.score <= 1 for r in odd.values())
 
 
