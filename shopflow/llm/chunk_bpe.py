@@ -7,21 +7,31 @@ between the last fixed boundary of the one and the first of the other (see ``cod
 encoded anew, over as many chunks as it takes until both ends stand on a fixed boundary. Outside
 the ids agree with those of the whole text, so the result is exact.
 
-Chunks are shared within a Python worker, in a store of bounded size. Sharing them across
-workers would shuffle every text and its ids, which costs more than encoding them.
+Chunks are counted over the whole table by their digests. Of those that occur more than once the
+ones that save most, up to a bounded total, are encoded once, apart from the texts, and sent to
+all tasks. Other chunks are shared within a task, in a store of bounded size. Chunks are looked up
+by their text, so a shared digest changes nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shopflow.llm.codec import Codec, codec, first_edge, last_edge
 from shopflow.llm.common import map_batches, texts, transposed
+from shopflow.sources.scratch import stored
 
+#: First and last fixed boundary of a chunk (-1: none), and the ids between them.
+Entry = tuple[int, int, np.ndarray | None]
+
+SHARED = 32_768  # chunks that all tasks get, at most
+SHARED_CHARACTERS = 16_000_000  # of these chunks together, at most
 WINDOW = 24
 LEAST, MEAN, MOST = 128, 512, 8192
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -53,24 +63,97 @@ def cuts(text: str, least: int = LEAST, mean: int = MEAN, most: int = MOST) -> l
     return ends
 
 
+def digest_of(chunk: str) -> int:
+    return xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def chunks(text: str) -> list[str]:
+    ends = cuts(text)
+    return [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
+
+def chunk_counts(docs: DataFrame) -> DataFrame:
+    """(digest, length, n): how often each chunk occurs in all texts."""
+
+    def start():
+        def count(batch):
+            found = Counter((digest_of(c), len(c)) for t in texts(batch) for c in chunks(t))
+            return [], [[d for d, _ in found], [n for _, n in found], list(found.values())]
+
+        return count
+
+    counted = map_batches(docs.select("text"), [], {"digest": "long", "length": "int", "n": "long"}, start)
+    return counted.groupBy("digest", "length").agg(F.sum("n").alias("n"))
+
+
+def encoded_chunks(docs: DataFrame, vocabulary: str, wanted: set[int]) -> DataFrame:
+    """(chunk, first, last, ids): the chunks with these digests, each encoded once."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def pick():
+        seen: set[int] = set()
+
+        def find(batch):
+            found = {digest_of(c): c for t in texts(batch) for c in chunks(t)}
+            fresh = (found.keys() & shared.value) - seen
+            seen.update(fresh)
+            return [], [list(fresh), [found[d] for d in fresh]]
+
+        return find
+
+    def start():
+        bpe = codec(vocabulary)
+
+        def encode(batch):
+            made = [entry_of(c, bpe) for c in texts(batch, "chunk")]
+            return None, [[e[0] for e in made], [e[1] for e in made], [None if e[2] is None else e[2].tobytes() for e in made]]
+
+        return encode
+
+    one = map_batches(docs.select("text"), [], {"digest": "long", "chunk": "string"}, pick)
+    one = one.groupBy("digest").agg(F.min("chunk").alias("chunk"))
+    return map_batches(one, ["chunk"], {"first": "int", "last": "int", "ids": "binary"}, start)
+
+
+def entry_of(chunk: str, bpe: Codec) -> Entry:
+    first, last = first_edge(chunk), last_edge(chunk)
+    return first, last, bpe.encode(chunk[first:last]) if first >= 0 else None
+
+
+def shared_chunks(docs: DataFrame, vocabulary: str) -> dict[str, Entry]:
+    """The chunks that occur more than once and save most, with their ids: SHARED at most."""
+    repeated = chunk_counts(docs).where(F.col("n") > 1)
+    saved = (F.col("n") - 1) * F.col("length")
+    best = repeated.orderBy(saved.desc(), "digest").limit(SHARED).select("digest", "length").collect()
+    total = np.cumsum([r["length"] for r in best])
+    wanted = {r["digest"] for r, so_far in zip(best, total, strict=True) if so_far <= SHARED_CHARACTERS}
+    if not wanted:
+        return {}
+    rows = stored(encoded_chunks(docs, vocabulary, wanted), "chunks").collect()
+    ids = [None if r["ids"] is None else np.frombuffer(r["ids"], np.uint32) for r in rows]
+    return {r["chunk"]: (r["first"], r["last"], i) for r, i in zip(rows, ids, strict=True)}
+
+
 class ChunkEncoder:
-    """Encodes texts by chunks and keeps what it has encoded, up to ``room`` characters."""
+    """Encodes texts by chunks and keeps what it has encoded, up to ``room`` characters.
 
-    def __init__(self, bpe: Codec, room: int = 32_000_000) -> None:
-        self.bpe, self.room = bpe, room
+    ``shared`` holds chunks that are encoded already.
+    """
+
+    def __init__(self, bpe: Codec, room: int = 32_000_000, shared: dict[str, Entry] | None = None) -> None:
+        self.bpe, self.room, self.shared = bpe, room, shared or {}
         self.held = 0
-        self.known: OrderedDict[str, tuple[int, int, np.ndarray]] = OrderedDict()
+        self.known: OrderedDict[str, Entry] = OrderedDict()
         self.encoded = self.reused = 0
 
-    def _chunk(self, chunk: str) -> tuple[int, int, np.ndarray]:
-        """First and last fixed boundary of a chunk, and the ids between them."""
-        entry = self.known.get(chunk)
-        if entry is not None:
+    def _chunk(self, chunk: str) -> Entry:
+        entry = self.shared.get(chunk)
+        if entry is None and (entry := self.known.get(chunk)) is not None:
             self.known.move_to_end(chunk)
+        if entry is not None:
             self.reused += 1
             return entry
-        first, last = first_edge(chunk), last_edge(chunk)
-        entry = (first, last, self.bpe.encode(chunk[first:last]) if first >= 0 else None)
+        entry = entry_of(chunk, self.bpe)
         self.encoded += 1
         self.known[chunk] = entry
         self.held += len(chunk)
@@ -100,11 +183,12 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     Returns doc_id, n_chunks (int), ids (array of int) and decoded (string), a row for each row
     of ``docs``. A null text is empty, and an empty text has no ids. Strings of special tokens
-    in a text become these tokens.
+    in a text become these tokens. ``docs`` is read three times.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, vocabulary))
 
     def start():
-        encoder = ChunkEncoder(codec(vocabulary))
+        encoder = ChunkEncoder(codec(vocabulary), shared=shared.value)
 
         def encode(batch):
             rows = [encoder.encode(t) for t in texts(batch)]
@@ -122,9 +206,10 @@ def round_trip_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     The digests are taken beside the ids, which then need not leave the task.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, vocabulary))
 
     def start():
-        encoder = ChunkEncoder(codec(vocabulary))
+        encoder = ChunkEncoder(codec(vocabulary), shared=shared.value)
         shown: dict[int, str] = {}
 
         def digest(batch):

@@ -3,8 +3,8 @@
 A document of n tokens gives whole windows and one rest shorter than a window. How many rests
 there are of each length is a histogram of fixed size. Combinations of two or three lengths
 that fill a window exactly are its building blocks; non-negative least squares finds how often
-to use each so that the sums come closest to the histogram. Rounded down to what is there, these
-counts pack most rests uncut. What remains is packed greedily, longest first, and cut at the
+to use each so that the sums come closest to the histogram. Rounded to the nearest whole number, and
+cut to what is there, these counts pack most rests uncut. What remains is packed greedily, longest first, and cut at the
 window's end, so that only the last window of all is padded.
 
 Ranks of the rests of one length are spread over all tasks (a count per task and length, and the

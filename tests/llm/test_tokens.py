@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -63,6 +64,26 @@ def test_known_chunks_are_not_encoded_again(vocabulary):
     assert encoder.encoded - fresh <= 3 and encoder.reused >= fresh - 3
 
 
+def test_chunks_of_several_partitions_are_encoded_once(spark, vocabulary, monkeypatch):
+    passage = " ".join(f"word{i * i}" for i in range(3000))
+    docs = [(i, f"beginning {i} " * (20 + i) + passage + f" end {i}") for i in range(8)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(8, "doc_id")
+    shared = chunk_bpe.shared_chunks(table, vocabulary)
+    several = Counter(c for _, t in docs for c in chunk_bpe.chunks(t))
+    assert set(shared) == {c for c, n in several.items() if n > 1}
+    again = sum(n for c, n in several.items() if c not in shared)
+    total = 0
+    for _, text in docs:  # a task for each document
+        encoder = chunk_bpe.ChunkEncoder(codec(vocabulary), shared=shared)
+        assert encoder.encode(text)[0].tolist() == codec(vocabulary).encode(text).tolist()
+        total += encoder.encoded
+    assert total == again < sum(several.values()) / 4
+    monkeypatch.setattr(chunk_bpe, "SHARED", 5)
+    assert len(chunk_bpe.shared_chunks(table, vocabulary)) == 5
+    monkeypatch.setattr(chunk_bpe, "SHARED_CHARACTERS", 1)
+    assert chunk_bpe.shared_chunks(table, vocabulary) == {}
+
+
 def test_store_of_chunks_is_bounded(vocabulary):
     encoder = chunk_bpe.ChunkEncoder(codec(vocabulary), room=3000)
     for k in range(50):
