@@ -213,16 +213,19 @@ def split_roundtrip(spark, sf_dir):
     )
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", "SELECT session_date, COUNT(*) AS sessions, TRUE AS same_mean FROM es GROUP BY session_date", "es")
 def model_roundtrip(spark, sf_dir):
-    """Scores of a model that was saved and loaded again, summed by day."""
-    sessions = v.behaviour_sessions(spark, sf_dir)
+    """Scores of a model that was saved and loaded again, by day, beside those of its weights alone."""
+    sessions = stored(v.behaviour_sessions(spark, sf_dir), "sessions")
     path = scratch_path(spark, "model")
     model.save_model(model.fit(sessions, list(v.EXAMPLE_WEIGHTS)), path)
-    scored = model.score(model.load_model(path), sessions)
-    return scored.groupBy("session_date").agg(
-        F.count("*").alias("sessions"), F.round(F.avg("pred_prob"), 6).alias("mean_pred_prob")
-    )
+    loaded = model.load_model(path)
+    found = model.score(loaded, sessions).groupBy("session_date")
+    found = found.agg(F.count("*").alias("sessions"), F.avg("pred_prob").alias("mean"))
+    plain = sessions.withColumn("plain", model.logistic_score(*model.model_weights(loaded)))
+    plain = plain.groupBy("session_date").agg(F.avg("plain").alias("plain"))
+    same = (F.abs(F.col("mean") - F.col("plain")) < 1e-9).alias("same_mean")
+    return found.join(plain, "session_date").select("session_date", "sessions", same)
 
 
 _EXPORTED = """

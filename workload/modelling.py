@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from shopflow.functions.expressions import ratio
 from shopflow.functions.selection import (
     DEFAULT_FEATURES,
     LABEL,
@@ -164,30 +165,110 @@ def _fitted(spark, sf_dir):
     return model.fit(train, kept), kept, train, test
 
 
-@query("fitted_model_drivers")
+_CUT = """
+    d AS (SELECT session_date AS d, ROW_NUMBER() OVER (ORDER BY session_date) AS rn, COUNT(*) OVER () AS n
+      FROM (SELECT DISTINCT session_date FROM es WHERE session_date IS NOT NULL)),
+    cut AS (SELECT MIN(d) AS cutoff FROM d
+      WHERE rn = GREATEST(1, LEAST(n - 1, CAST(FLOOR(n * CAST(0.8 AS DOUBLE)) AS BIGINT))) + 1)
+"""
+
+
+@query(
+    "fitted_model_drivers",
+    f"""
+    WITH {_CUT} SELECT COUNT(*) AS train_sessions, TRUE AS ranks_follow_weights, TRUE AS signs_fit, TRUE AS features_are_kept
+    FROM es, cut WHERE session_date < cutoff
+    """,
+    "es",
+)
 def fitted_model_drivers(spark, sf_dir):
-    fitted, _, train, _ = _fitted(spark, sf_dir)
-    return model.coefficient_drivers(fitted, train)
+    """Facts of the drivers of a fitted model: their order, signs and names."""
+    fitted, kept, train, _ = _fitted(spark, sf_dir)
+    drivers = model.coefficient_drivers(fitted, train)
+    weights, _ = model.model_weights(fitted)
+    expected = {
+        (direction, rank + 1, feature)
+        for direction, sign in (("positive", 1), ("negative", -1))
+        for rank, (_, feature) in enumerate(sorted((-sign * w, f) for f, w in weights.items() if sign * w > 0)[:8])
+    }
+    found = {(r["direction"], r["rank"], r["feature"]) for r in drivers.collect()}  # 16 rows at most
+    facts = drivers.agg(
+        F.bool_and((F.col("weight") >= 0) == (F.col("direction") == "positive")).alias("signs_fit"),
+        F.bool_and(F.col("feature").isin(*kept)).alias("features_are_kept"),
+    )
+    return facts.select(
+        train.agg(F.count("*").alias("n")).scalar().alias("train_sessions"),
+        F.lit(found == expected).alias("ranks_follow_weights"),
+        "signs_fit",
+        "features_are_kept",
+    )
 
 
-@query("trained_model_metrics")
+@query(
+    "trained_model_metrics",
+    f"""
+    WITH {_CUT},
+    te AS (SELECT es.* FROM es, cut WHERE session_date >= cutoff), tr AS (SELECT es.* FROM es, cut WHERE session_date < cutoff)
+    SELECT 'time-based' AS split_method, CAST(MIN(tr.session_date) AS VARCHAR) AS train_start, CAST(MAX(tr.session_date) AS VARCHAR) AS train_end,
+      ROUND(SUM(tr.{LABEL}) / COUNT(*), 6) AS pct_positive_train,
+      (SELECT CAST(MIN(session_date) AS VARCHAR) FROM te) AS test_start, (SELECT CAST(MAX(session_date) AS VARCHAR) FROM te) AS test_end,
+      (SELECT ROUND(SUM({LABEL}) / COUNT(*), 6) FROM te) AS pct_positive_test, CAST(0.5 AS DOUBLE) AS threshold_used,
+      '{LABEL}' AS label_column, '{",".join(_KEPT)}' AS features_used, (SELECT COUNT(*) FROM te) AS sessions,
+      (SELECT CAST(SUM({LABEL}) AS BIGINT) FROM te) AS positives, TRUE AS accuracy_fits, TRUE AS precision_fits, TRUE AS recall_fits,
+      TRUE AS f1_fits, TRUE AS auc_in_range, 'test' AS evaluation_set
+    FROM tr
+    """,
+    "es",
+)
 def trained_model_metrics(spark, sf_dir):
+    """The evaluation record of a fitted model: what SQL can tell, and whether its scores fit its matrix."""
     fitted, kept, train, test = _fitted(spark, sf_dir)
-    return evaluation_record(model.score(fitted, test), train, test, kept)
+    record = stored(evaluation_record(model.score(fitted, test), train, test, kept), "record")
+    tn, fp, fn, tp = (F.col(f"confusion_matrix.{c}") for c in ("tn", "fp", "fn", "tp"))
+    near = lambda name, value: (F.abs(F.col(name) - value) < 2e-6).alias(f"{name}_fits")
+    return record.select(
+        "split_method",
+        *[F.col(c).cast("string").alias(c) for c in ("train_start", "train_end", "test_start", "test_end")],
+        "pct_positive_train",
+        "pct_positive_test",
+        "threshold_used",
+        "label_column",
+        F.array_join("features_used", ",").alias("features_used"),
+        (tn + fp + fn + tp).alias("sessions"),
+        (tp + fn).alias("positives"),
+        near("accuracy", ratio(tn + tp, tn + fp + fn + tp)),
+        near("precision", ratio(tp, tp + fp)),
+        near("recall", ratio(tp, tp + fn)),
+        near("f1", ratio(2 * tp, 2 * tp + fp + fn)),
+        F.col("auc").between(0, 1).alias("auc_in_range"),
+        "evaluation_set",
+    )
 
 
-@query("trained_model_curve")
+@query(
+    "trained_model_curve",
+    f"""
+    WITH {_CUT} SELECT COUNT(*) AS sessions, TRUE AS falls, TRUE AS begins_with_all, TRUE AS ends_with_none
+    FROM es, cut WHERE session_date >= cutoff
+    """,
+    "es",
+)
 def trained_model_curve(spark, sf_dir):
+    """Facts of a fitted model's curve: shares and recall fall with the threshold, from all to none."""
     fitted, _, _, test = _fitted(spark, sf_dir)
-    return scores.threshold_curve(scores.score_cube(model.score(fitted, test)))
-
-
-_CUT = """
-    d AS (SELECT session_date AS d, ROW_NUMBER() OVER (ORDER BY session_date) AS rn, COUNT(*) OVER () AS n
-      FROM (SELECT DISTINCT session_date FROM es WHERE session_date IS NOT NULL)),
-    cut AS (SELECT MIN(d) AS cutoff FROM d
-      WHERE rn = GREATEST(1, LEAST(n - 1, CAST(FLOOR(n * CAST(0.8 AS DOUBLE)) AS BIGINT))) + 1)
-"""
+    curve = stored(scores.threshold_curve(scores.score_cube(model.score(fitted, test))), "curve")
+    before = Window.partitionBy(F.lit(0)).orderBy("threshold")  # 101 rows at most
+    steps = curve.select(
+        (F.col("pct_flagged") <= F.coalesce(F.lag("pct_flagged").over(before), F.lit(1.0))).alias("fewer"),
+        (F.col("recall") <= F.coalesce(F.lag("recall").over(before), F.lit(1.0))).alias("less"),
+    )
+    ends = curve.agg(F.min_by("pct_flagged", "threshold").alias("first"), F.max_by("pct_flagged", "threshold").alias("last"))
+    return steps.agg(F.bool_and(F.col("fewer") & F.col("less")).alias("falls")).select(
+        test.agg(F.count("*").alias("n")).scalar().alias("sessions"),
+        "falls",
+        ends.select(F.col("first") == 1.0).scalar().alias("begins_with_all"),
+        ends.select(F.col("last") == 0.0).scalar().alias("ends_with_none"),
+    )
 
 
 @query(
