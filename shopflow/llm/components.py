@@ -14,16 +14,17 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds of large-star and small-star: every edge is moved to the smallest neighbour of one
     of its ends until each component is a star around its smallest node. The rounds grow with
     the logarithm of the graph; each is stored, so a lost executor costs no more than one. Edges
-    that are stars already need none.
+    that are stars already need none. So are the smallest neighbours: a join of two tables that are
+    read, unlike one with an aggregate, is dealt so that Spark can split a node with many edges.
     """
     links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     links = stored(links.where("a != b").distinct(), "links")
     while not stars(links):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
         large = stored(large.where("a != b").distinct(), "links")
-        smallest = large.groupBy("a").agg(F.min("b").alias("root"))
+        smallest = stored(large.groupBy("a").agg(F.min("b").alias("root")), "smallest")
         small = large.join(smallest, "a").select(F.col("b").alias("a"), F.col("root").alias("b"))
         small = small.unionByName(smallest.select("a", F.col("root").alias("b")))
         links = stored(small.where("a != b").distinct(), "links")
