@@ -16,7 +16,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.functions.selection import DEFAULT_FEATURES, LABEL, usable_features
+from shopflow.functions.selection import DEFAULT_FEATURES, usable_features
 from shopflow.operators import rollups, scores
 from shopflow.operators.events import as_date, purchases, reportable_events
 from shopflow.operators.histogram import approx_edges, session_distributions

@@ -83,7 +83,9 @@ def reload_events(
     if not hit:
         return touched.drop(BUCKET)
     old = read_feature_buckets(spark, features_path, hit)
-    last = F.to_date(F.timestamp_seconds(F.unix_seconds(F.col("session_date").cast("timestamp")) + F.col("hour_of_day") * 3600 + 3599 + F.col("session_duration_seconds")))
+    # A session ends at the latest its duration after the end of the hour that it began in.
+    seconds = F.col("hour_of_day") * 3600 + 3599 + F.col("session_duration_seconds")
+    last = F.to_date(F.timestamp_seconds(F.unix_seconds(F.col("session_date").cast("timestamp")) + seconds))
     span = old.join(touched, "user_session", "left_semi").agg(F.min("session_date").alias("first"), F.max(last).alias("last")).first()
     bounds = F.lit(start).cast("date"), F.lit(end).cast("date")
     first, last_day = spark.range(1).select(

@@ -193,7 +193,8 @@ def users_of_range(spark, sf_dir):
     path = scratch_path(spark, "users")
     write_table(rollups.daily_user_bitmaps(v.shop_events(spark, sf_dir)), path)
     bitmaps = spark.read.parquet(path)
-    return _united([rollups.users_of_range(bitmaps, *r).select(F.lit(r[0]).alias("start"), "total_users") for r in RANGES])
+    counts = [rollups.users_of_range(bitmaps, *r).withColumn("start", F.lit(r[0])) for r in RANGES]
+    return _united(counts)
 
 
 _LEVEL = """

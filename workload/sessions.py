@@ -64,7 +64,13 @@ def dates_join(spark, sf_dir):
     return sessions_in_range(session_features(source), starts, v.L_START, v.L_END).drop("session_start")
 
 
-@query("weekday_of_first_event", "SELECT user_session, CAST(dayofweek(MIN(event_time)) + 1 AS INTEGER) AS day_of_week FROM lr GROUP BY user_session", "lr")
+@query(
+    "weekday_of_first_event",
+    """
+    SELECT user_session, CAST(dayofweek(MIN(event_time)) + 1 AS INTEGER) AS day_of_week FROM lr GROUP BY user_session
+    """,
+    "lr",
+)
 def weekday_of_first_event(spark, sf_dir):
     """Features that were stored without a weekday get that of the first event in range."""
     source = v.commerce(spark, sf_dir)
