@@ -53,7 +53,7 @@ def running_totals(
 
     ``order_by`` must be unique within ``key``: aggregate first, which also removes skew
     from repeated values. The joined tables hold one row per key, or per key and bucket;
-    whether to broadcast them is left to their size. ``df`` is read three times, so it is
+    without a key the offsets are broadcast, else that is left to their size. ``df`` is read three times, so it is
     stored once first.
     """
     buckets = buckets or default_buckets(df)
@@ -80,6 +80,8 @@ def running_totals(
         .orderBy(order_by)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    if not key:  # a row for each bucket, of which the code sets the number
+        offsets = F.broadcast(offsets)
     joined = placed.join(offsets, [*keys, "bucket"])
     before = {
         f"{m}_before": F.col(f"{m}_offset") + F.coalesce(F.sum(m).over(inside), F.lit(0))
