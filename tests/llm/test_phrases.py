@@ -76,7 +76,7 @@ ODD = [("hot", "big data big data big data, big")] * 40 + [("long", "one two thr
 ODD += [(None, None), ("fr", ""), ("fr", " ,;! \t"), ("es", "uno")] + [("tie", "z y. é f. b a. \U0001f600 q. ￮ q1")] * 8
 
 
-@pytest.mark.parametrize(("least", "top", "rows", "bits"), [(5, 2000, 8, (16, 30)), (8, 3, 1 << 20, (15, 15))])
+@pytest.mark.parametrize(("least", "top", "rows", "bits"), [(5, 2000, 400, (16, 30)), (8, 3, 1 << 20, (15, 15))])
 def test_equals_counting_by_hand(spark, monkeypatch, least, top, rows, bits):
     """Also with groups of a few suffixes, and with filters too small to leave anything out."""
     monkeypatch.setattr(phrases, "FILTER_BITS", bits)
