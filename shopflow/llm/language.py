@@ -166,22 +166,35 @@ class Model:
     weights: dict[str, np.ndarray]
 
 
-def learn(docs: DataFrame, usable: Column, rows: int = 800) -> Model:
-    """Train on at most ``rows`` documents of each language, chosen by the hash of their ids.
+def sample_of(docs: DataFrame, usable: Column, rows: int, languages: int) -> DataFrame:
+    """Texts to learn from (doc_id, lang, text): at most ``rows`` of each of ``languages`` languages.
 
-    Documents with a null language, id or text, or without letters, teach nothing.
+    The languages are those with the most ids, as sketches count them, ties by name; the ids of
+    each are those with the smallest hashes. Of an id that several rows bear in a language, the
+    smallest text with a letter counts.
     """
     known = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids"))
+    counts = counts.orderBy(F.desc("ids"), "lang").limit(languages)
+    # Hashes are spread evenly, so that about 4 * rows ids of a language are below this share of
+    # their range, and the first ``rows`` are among these.
+    low = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5 <= 4.0 * rows / F.col("ids")
+    ids = known.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(low)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    spread = Window.partitionBy("lang", "part").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), 256).alias("part"))
-    # Spark keeps the first rows of each task before it shuffles; a common language is ranked in
-    # parts first, so that the last window gets a bounded number of rows.
-    ids = ids.withColumn("place", F.row_number().over(spread)).where(F.col("place") <= rows)
-    ranked = ids.withColumn("place", F.row_number().over(order))
-    chosen = stored(ranked.where(F.col("place") <= rows).select("doc_id").distinct(), "chosen")
+    ranked = ids.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(order))
+    chosen = stored(ranked.where(F.col("place") <= rows).select("doc_id", "lang"), "chosen")
     lettered = known.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
-    sample = lettered.join(F.broadcast(chosen), "doc_id")  # rows times languages at most
+    sample = lettered.join(F.broadcast(chosen), ["doc_id", "lang"])  # rows times languages at most
+    return sample.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+
+def learn(docs: DataFrame, usable: Column, rows: int = 800, most: int = 200) -> Model:
+    """Train on at most ``rows`` documents of each of the ``most`` commonest languages.
+
+    See ``sample_of``. Documents with a null language, id or text, or without letters, teach
+    nothing; a language beyond these is not learnt.
+    """
+    sample = sample_of(docs, usable, rows, most)
     made = training_windows(sample).collect()
     languages = sorted({r["lang"] for r in made})
     if not languages:

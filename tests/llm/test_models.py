@@ -10,6 +10,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 from shopflow.llm import chat, language, packing, quality, toxicity
 from shopflow.llm.common import fold_of
+from shopflow.llm.labelled import labelled_sample
 from shopflow.llm.queries import learnable, table
 
 SF = "/root/testdata/sf0.01"
@@ -34,6 +35,27 @@ def test_toxicity_of_held_out_rows(tables, make_docs):
     assert len(odd) == 6 and all(0 <= r.score < 0.5 for r in odd)
 
 
+def test_samples_are_bounded_in_rows_where_ids_repeat(spark, make_docs):
+    docs = make_docs([(7, f"copy {k:03}") for k in range(300)] + [(8, None), (9, "b"), (9, None), (None, "z")])
+    labels = spark.createDataFrame([(7, 1), (7, 1), (7, 0), (8, 0), (9, 1), (10, 1), (None, 1), (9, None)], "doc_id long, toxic int")
+    sample = labelled_sample(docs, labels, "toxic", F.lit(True), 50).collect()
+    assert sorted(map(tuple, sample)) == [("", 0), ("", 1), ("copy 000", 0), ("copy 000", 1)]
+    assert len(labelled_sample(docs, labels, "toxic", F.lit(True), 1).collect()) == 2
+
+
+def test_languages_are_bounded_in_rows_and_number(spark):
+    rows = [(1, f"text {k:03}", "en") for k in range(300)] + [(k, f"more {k}", "en") for k in range(2, 40)]
+    rows += [(k, f"texte {k}", "fr") for k in range(30)] + [(1, "texte", "fr"), (2, None, "fr"), (3, "4", "fr")]
+    rows += [(k, "junk", f"x{k}") for k in range(20)] + [(None, "text", "en"), (5, "text", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    sample = language.sample_of(docs, F.lit(True), 10, 2).collect()
+    ids = {lang: sorted(r.doc_id for r in sample if r.lang == lang) for lang in ("en", "fr")}
+    assert len(sample) == 20 and all(len(set(v)) == 10 for v in ids.values())
+    assert all(r.text == {"en": "text 000" if r.doc_id == 1 else f"more {r.doc_id}", "fr": "texte" if r.doc_id == 1 else f"texte {r.doc_id}"}[r.lang] for r in sample)
+    every = language.sample_of(docs, F.lit(True), 1000, 200).collect()
+    assert sorted({r.lang for r in every}) == sorted(["en", "fr", *(f"x{k}" for k in range(20))]) and len(every) == 39 + 30 + 20
+
+
 def test_nothing_to_learn_from(tables):
     docs, labels = tables
     none = labels.where("doc_id < 0")
