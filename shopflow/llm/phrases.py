@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from shopflow.sources.scratch import stored
 
 WORDS = 5  # longest phrase
-SLICE = 4 << 20  # bytes of text at a time in a task
-GROUP_ROWS = 1 << 20  # memory budget of a group, in suffixes
+SLICE = 1 << 20  # bytes of text at a time in a task
+GROUP_ROWS = 1 << 19  # memory budget of a group, in suffixes
 FILTER_BITS = (16, 30)  # smallest and largest size of a filter, as powers of two
 RESERVED = 1 << 16  # codes that no hash has
 SALTS = 32
@@ -78,9 +78,9 @@ def cut(batch: pa.RecordBatch) -> Slice:
     if not len(starts):
         return Slice([], [], np.empty(0, np.int64), np.empty(0, np.int64))
     doc = np.searchsorted(offsets, starts, "right") - 1
-    piece = np.cumsum(kind == 2, dtype=np.int64)[starts] + doc
-    bounds = np.cumsum(inside, dtype=np.int64)[starts] - 1
-    bounds = np.append(bounds, int(inside.sum())).astype(np.int32)
+    piece = np.cumsum(kind == 2, dtype=np.int32)[starts] + doc  # a batch has less than 2**31 bytes
+    bounds = np.cumsum(inside, dtype=np.int32)[starts] - 1
+    bounds = np.append(bounds, np.int32(inside.sum()))
     packed = data[inside]
     words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(packed)).dictionary_encode()
     langs = pc.fill_null(batch.column(0), UNKNOWN).dictionary_encode()
@@ -331,7 +331,8 @@ def subtrees(packed: DataFrame, groups: int, least: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
         key, parts = None, []
-        for batch in batches:
+        # A batch may hold a whole group; few of its rows become Python objects at a time.
+        for batch in (b.slice(k, 64) for b in batches for k in range(0, len(b), 64)):
             for group, lang, *data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (group, lang) != key and parts:
                     yield nodes(key[1], parts)
